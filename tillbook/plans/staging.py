@@ -213,7 +213,10 @@ class RetailData:
 
     @cached_property
     def raw_products(self) -> DataFrame:
-        """Every part as a row of an intake file, some with faults; stored as CSV."""
+        """Every part as a row of an intake file, some with faults; stored as CSV.
+
+        A CSV reader takes a blank field for NULL, so blank and NULL names read alike.
+        """
         size = F.col("p_size")
         rows = self.read("part").select(
             F.when(size == 29, None)
