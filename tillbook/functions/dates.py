@@ -56,7 +56,10 @@ def stored_date(df: DataFrame, name: str) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.col(name).cast("date")
     text = F.trim(F.col(name).cast("string"))
-    seconds = F.when(text.rlike(_NUMBER), F.floor(text.try_cast("double")))
+    if isinstance(kind, T.NumericType):
+        seconds = F.floor(F.col(name))
+    else:
+        seconds = F.when(text.rlike(_NUMBER), F.floor(text.try_cast("double")))
     epoch_day = F.date_add(
         F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).try_cast("int")
     )

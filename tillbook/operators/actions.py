@@ -34,17 +34,31 @@ def recent_cut(as_of: dt.date, months: int = RECENT_MONTHS) -> dt.date:
     return dt.date(index // 12, index % 12 + 1, 1)
 
 
-def _total_columns(cut: dt.date) -> list[Column]:
+def sales_rollup(sales: DataFrame, cut: dt.date) -> DataFrame:
+    """Sales reduced to one row per product and place, in one pass."""
     recent = F.when(F.col("sold_on") >= F.lit(cut), F.col("qty"))
-    return [F.sum("qty").alias("total_qty"), F.sum(recent).alias("recent_qty")]
+    return sales.groupBy("product_id", "place").agg(
+        F.sum("amount").alias("total_sales"),
+        F.sum("qty").alias("total_qty"),
+        F.sum(recent).alias("recent_qty"),
+    )
 
 
-def sales_rollup(sales: DataFrame, cut: dt.date) -> DataFrame:
-    """Sales reduced to one row per product and place, in one pass, and written."""
-    rollup = sales.groupBy("product_id", "place").agg(
-        F.sum("amount").alias("total_sales"), *_total_columns(cut)
+def product_units(products: DataFrame, by_product: DataFrame) -> DataFrame:
+    """Every product with its totals, 0 where it was never sold.
+
+    ``by_product`` has one row per product: ``product_id`` and any of ``total_qty`` and
+    ``recent_qty``.
+    """
+    totals = [c for c in by_product.columns if c != "product_id"]
+    return products.join(by_product, "product_id", "left").select(
+        "product_id",
+        "product_name",
+        "producer_id",
+        "stock_qty",
+        "ordered_on",
+        *[zero_if_null(F.col(c)).alias(c) for c in totals],
     )
-    return materialize(rollup, "sales-rollup")
 
 
 def _zero_sales_places(by_place: DataFrame, places: DataFrame) -> DataFrame:
@@ -80,62 +94,52 @@ def lowest_revenue_place(sales: DataFrame) -> DataFrame:
     return _lowest_revenue_place(revenue_per_place(sales))
 
 
-def _reorder_best_seller(products: DataFrame, by_product: DataFrame) -> DataFrame:
+def _reorder_best_seller(units: DataFrame) -> DataFrame:
     return (
-        by_product.filter(F.col("total_qty") > 0)
-        .join(products.select("product_id", "product_name", "stock_qty"), "product_id")
+        units.filter(F.col("total_qty") > 0)
+        .select("product_id", "product_name", "total_qty", "stock_qty")
         .orderBy(F.desc("total_qty"), F.asc("product_id"))
         .limit(1)
-        .select("product_id", "product_name", "total_qty", "stock_qty")
     )
 
 
 def reorder_best_seller(products: DataFrame, sales: DataFrame) -> DataFrame:
-    """The product with the most units sold; empty when nothing was sold.
-
-    Products without sales total 0 and cannot win, so an inner join is enough.
-    """
-    return _reorder_best_seller(products, units_by_product(sales))
+    """The product with the most units sold; empty when nothing was sold."""
+    return _reorder_best_seller(product_units(products, units_by_product(sales)))
 
 
 def next_special_day(
     special_days: DataFrame, as_of: dt.date, gift_seasons: Iterable[str] = GIFT_SEASONS
 ) -> DataFrame:
     """The earliest-starting special day that has not ended on ``as_of``."""
+    first = F.min(F.struct("starts_on", "id", "name", "ends_on"))
     return (
         special_days.filter(F.col("ends_on") >= F.lit(as_of))
-        .orderBy(F.asc("starts_on"), F.asc("id"))
-        .limit(1)
+        .agg(first.alias("day"))
+        .filter(F.col("day").isNotNull())
         .select(
-            "id",
-            "name",
-            "starts_on",
-            "ends_on",
-            F.coalesce(F.col("name").isin(sorted(gift_seasons)), F.lit(False)).alias(
+            "day.id",
+            "day.name",
+            "day.starts_on",
+            "day.ends_on",
+            F.coalesce(F.col("day.name").isin(sorted(gift_seasons)), F.lit(False)).alias(
                 "gift_season"
             ),
         )
     )
 
 
-def _producer_days(
-    producers: DataFrame, products: DataFrame, by_product: DataFrame, threshold: float
-) -> DataFrame:
-    units = (
-        products.select("product_id", "producer_id")
-        .filter(F.col("producer_id").isNotNull())
-        .join(by_product, "product_id", "left")
+def _producer_days(units: DataFrame, producers: DataFrame, threshold: float) -> DataFrame:
+    per_producer = (
+        units.filter(F.col("producer_id").isNotNull())
         .groupBy("producer_id")
-        .agg(
-            zero_if_null(F.sum("recent_qty")).alias("recent_qty"),
-            zero_if_null(F.sum("total_qty")).alias("total_qty"),
-        )
+        .agg(F.sum("recent_qty").alias("recent_qty"), F.sum("total_qty").alias("total_qty"))
     )
     below = F.when(
         F.col("total_qty") > 0, F.col("recent_qty") * 100 < F.col("total_qty") * threshold
     ).otherwise(F.lit(0) < threshold)
     return (
-        units.filter(below)
+        per_producer.filter(below)
         .join(producers, "producer_id")
         .select(
             "producer_id",
@@ -160,41 +164,34 @@ def producer_days(
     Recent means since the first of the month ``months`` before ``as_of``, with no
     upper bound. A producer that never sold anything has share 0.
     """
-    by_product = sales.groupBy("product_id").agg(*_total_columns(recent_cut(as_of, months)))
-    return _producer_days(producers, products, by_product, threshold)
+    recent = F.when(F.col("sold_on") >= F.lit(recent_cut(as_of, months)), F.col("qty"))
+    by_product = sales.groupBy("product_id").agg(
+        F.sum("qty").alias("total_qty"), F.sum(recent).alias("recent_qty")
+    )
+    return _producer_days(product_units(products, by_product), producers, threshold)
 
 
-def _slow_mover_discounts(
-    products: DataFrame, by_product: DataFrame, as_of: dt.date
-) -> DataFrame:
+def _slow_mover_discounts(units: DataFrame, as_of: dt.date) -> DataFrame:
     youngest = as_of - dt.timedelta(days=min(days for days, _ in DISCOUNT_STEPS))
-    aged = (
-        products.filter(F.col("ordered_on") < F.lit(youngest))
+    opening = F.col("stock_qty") + F.col("total_qty")
+    slow = (opening <= 0) | (F.col("total_qty") * 100 <= opening * SLOW_MOVER_SHARE)
+    days_in_stock = F.date_diff(F.lit(as_of), F.col("ordered_on")).cast("bigint")
+    discount = F.lit(None).cast("int")
+    for days, step in reversed(DISCOUNT_STEPS):
+        discount = F.when(days_in_stock > days, step).otherwise(discount)
+    return (
+        units.filter(F.col("ordered_on") < F.lit(youngest))
         .filter(F.col("stock_qty").isNotNull())
+        .filter(slow)
         .select(
             "product_id",
             "product_name",
+            days_in_stock.alias("days_in_stock"),
             "stock_qty",
-            F.date_diff(F.lit(as_of), F.col("ordered_on")).cast("bigint").alias("days_in_stock"),
+            "total_qty",
+            percent(F.col("total_qty"), opening).alias("sold_pct"),
+            discount.alias("discount"),
         )
-        .join(by_product.select("product_id", "total_qty"), "product_id", "left")
-        .withColumn("total_qty", zero_if_null(F.col("total_qty")))
-        .withColumn("opening_qty", F.col("stock_qty") + F.col("total_qty"))
-    )
-    slow = (F.col("opening_qty") <= 0) | (
-        F.col("total_qty") * 100 <= F.col("opening_qty") * SLOW_MOVER_SHARE
-    )
-    discount = F.lit(None).cast("int")
-    for days, step in reversed(DISCOUNT_STEPS):
-        discount = F.when(F.col("days_in_stock") > days, step).otherwise(discount)
-    return aged.filter(slow).select(
-        "product_id",
-        "product_name",
-        "days_in_stock",
-        "stock_qty",
-        "total_qty",
-        percent(F.col("total_qty"), F.col("opening_qty")).alias("sold_pct"),
-        discount.alias("discount"),
     )
 
 
@@ -204,7 +201,7 @@ def slow_mover_discounts(products: DataFrame, sales: DataFrame, as_of: dt.date)
     More than 30, 60 or 90 days in stock decide the step. Products without an order
     date or a stock figure get none.
     """
-    return _slow_mover_discounts(products, units_by_product(sales), as_of)
+    return _slow_mover_discounts(product_units(products, units_by_product(sales)), as_of)
 
 
 def _record(
@@ -361,21 +358,23 @@ def action_feed(
 
     Special day, then places without sales or else the weakest place, then the
     reorder, then producer days, then discounts. One row of type ``none`` when there
-    is no action. Sales are read once, into a rollup written to the work folder.
+    is no action. Sales are read once, into a rollup, and products joined to it once;
+    both are written to the work folder.
     """
-    rollup = sales_rollup(sales, recent_cut(as_of, months))
+    rollup = materialize(sales_rollup(sales, recent_cut(as_of, months)), "sales-rollup")
     by_place = rollup.groupBy("place").agg(F.sum("total_sales").alias("total_sales"))
     by_product = rollup.groupBy("product_id").agg(
         F.sum("total_qty").alias("total_qty"), F.sum("recent_qty").alias("recent_qty")
     )
+    units = materialize(product_units(products, by_product), "product-units")
     actions = (
         _special_day_record(next_special_day(special_days, as_of, gift_seasons))
         .unionByName(
             _place_records(_zero_sales_places(by_place, places), _lowest_revenue_place(by_place))
         )
-        .unionByName(_reorder_record(_reorder_best_seller(products, by_product)))
-        .unionByName(_producer_records(_producer_days(producers, products, by_product, threshold)))
-        .unionByName(_discount_records(_slow_mover_discounts(products, by_product, as_of)))
+        .unionByName(_reorder_record(_reorder_best_seller(units)))
+        .unionByName(_producer_records(_producer_days(units, producers, threshold)))
+        .unionByName(_discount_records(_slow_mover_discounts(units, as_of)))
     )
     nothing = _record(
         products.sparkSession.range(1),
