@@ -28,29 +28,33 @@ from tillbook.functions import zero_if_null
 from tillbook.plans.worktables import materialize
 
 FOLD_LIMIT = 1_000_000
-BLOCK_ROWS = 250_000
+BLOCK_ROWS = 1_000_000
 
-WHOLE, NONE, FOLD, BLOCKS = "whole", "none", "fold", "blocks"
+# Keys broadcast at most; more of them are joined by shuffle.
+BROADCAST_KEYS = 100_000
+
+UNKNOWN, WHOLE, NONE, FOLD, BLOCKS = "unknown", "whole", "none", "fold", "blocks"
 
 
 def demand_per_key(
     requests: DataFrame, supply: DataFrame, key: str, fold_limit: int = FOLD_LIMIT
 ) -> DataFrame:
-    """One row per key that has both requests and supply, with the way to answer them.
+    """One row per key with requests, its supply, and the way to answer them; written.
 
     ``requests`` has ``key`` and ``qty`` (at least 1); ``supply`` has one row per key
-    with ``opening`` and any columns to carry along. The result is written.
+    with ``opening`` and any columns to carry along.
     """
     demand = requests.groupBy(key).agg(
         F.sum("qty").alias("demand"), F.count("*").alias("request_count")
     )
     way = (
-        F.when(F.col("demand") <= F.col("opening"), WHOLE)
+        F.when(F.col("opening").isNull(), UNKNOWN)
+        .when(F.col("demand") <= F.col("opening"), WHOLE)
         .when(F.col("opening") < 1, NONE)
         .when(F.col("request_count") <= fold_limit, FOLD)
         .otherwise(BLOCKS)
     )
-    return materialize(supply.join(demand, key).withColumn("way", way), "demand")
+    return materialize(demand.join(supply, key, "left").withColumn("way", way), "demand")
 
 
 def grant_in_order(
@@ -72,25 +76,37 @@ def grant_in_order(
     reason, way = F.col("reason"), F.col("way")
     sound = requests.filter(reason.isNull())
     demand = demand_per_key(sound, supply, key, fold_limit)
+
+    # Spark may split the rows of a hot key here: nothing after the join needs them together.
+    answer = F.when(way.isNull() | (way == UNKNOWN), unknown).when(way == NONE, too_much)
     settled = (
         requests.join(demand, key, "left")
-        .filter(reason.isNotNull() | way.isNull() | way.isin(WHOLE, NONE))
-        .withColumn(
-            "reason",
-            F.coalesce(reason, F.when(way.isNull(), unknown).when(way == NONE, too_much)),
-        )
+        .filter(reason.isNotNull() | way.isNull() | way.isin(UNKNOWN, WHOLE, NONE))
+        .withColumn("reason", F.coalesce(reason, answer))
     )
-    refused = F.when(~F.col("granted"), too_much)
-    folded = _fold(sound.join(demand.filter(way == FOLD), key), [key], "opening", order)
-    parts = [settled, folded.withColumn("reason", refused).drop("granted")]
-    large = demand.filter(way == BLOCKS)
-    size = large.agg(
-        F.sum("request_count").alias("rows"), F.max("opening").alias("opening")
+    parts = [settled]
+
+    hot = demand.filter(F.col("request_count") > fold_limit)
+    in_blocks = way == BLOCKS
+    size = hot.agg(
+        F.count("*").alias("keys"),
+        F.sum(F.when(in_blocks, F.col("request_count"))).alias("rows"),
+        F.max(F.when(in_blocks, F.col("opening"))).alias("opening"),
     ).first()
+    if size["keys"]:
+        if size["keys"] <= BROADCAST_KEYS:
+            hot = F.broadcast(hot)
+        # A fold brings a key's rows together, so hot keys leave before the shuffle.
+        cool = sound.join(hot, key, "left_anti")
+    else:
+        cool = sound
+    refused = F.when(~F.col("granted"), too_much)
+    folded = _fold(cool.join(demand.filter(way == FOLD), key), [key], "opening", order)
+    parts.append(folded.withColumn("reason", refused).drop("granted"))
     if size["rows"]:
         granted = _grant_in_blocks(
-            sound.join(large, key),
-            large,
+            sound.join(hot, key).filter(in_blocks),
+            demand.filter(in_blocks),
             key,
             order,
             blocks=math.ceil(size["rows"] / block_rows),
@@ -101,17 +117,27 @@ def grant_in_order(
 
 
 def _fold(df: DataFrame, unit: list[str], opening: str, order: Sequence[str]) -> DataFrame:
-    """Fold every unit of ``df`` in order, from ``opening``; one task per unit."""
-    schema = T.StructType(df.schema.fields + [T.StructField("granted", T.BooleanType())])
+    """Fold every unit of ``df`` in order, from ``opening``; one task per unit.
+
+    The window puts each unit's rows in one task in order, and keeps Spark from
+    rearranging them at run time; a bare ``repartition`` would not. The function that
+    follows in the same task checks that it gets them so.
+    """
+    turns = F.row_number().over(Window.partitionBy(*unit).orderBy(*order))
+    queue = df.withColumn("turn", turns)
+    schema = T.StructType(queue.schema.fields + [T.StructField("granted", T.BooleanType())])
 
     def grant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, left = None, 0
+        left, last = 0, 0
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in (*unit, opening, "qty")]
+            columns = [batch.column(name).to_pylist() for name in ("turn", opening, "qty")]
             granted = []
-            for *ident, start, qty in zip(*columns):
-                if ident != current:
-                    current, left = ident, start
+            for turn, start, qty in zip(*columns):
+                if turn == 1:
+                    left = start
+                elif turn != last + 1:
+                    raise RuntimeError(f"turn {turn} came after turn {last}")
+                last = turn
                 granted.append(qty <= left)
                 if granted[-1]:
                     left -= qty
@@ -120,9 +146,7 @@ def _fold(df: DataFrame, unit: list[str], opening: str, order: Sequence[str]) ->
                 names=[*batch.schema.names, "granted"],
             )
 
-    return (
-        df.repartition(*unit).sortWithinPartitions(*unit, *order).mapInArrow(grant, schema)
-    )
+    return queue.mapInArrow(grant, schema).drop("turn")
 
 
 def _level(left: Column) -> Column:
