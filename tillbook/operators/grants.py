@@ -33,28 +33,18 @@ BLOCK_ROWS = 1_000_000
 # Keys broadcast at most; more of them are joined by shuffle.
 BROADCAST_KEYS = 100_000
 
-UNKNOWN, WHOLE, NONE, FOLD, BLOCKS = "unknown", "whole", "none", "fold", "blocks"
+WHOLE, NONE, FOLD, BLOCKS = "whole", "none", "fold", "blocks"
 
 
-def demand_per_key(
-    requests: DataFrame, supply: DataFrame, key: str, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
-    """One row per key with requests, its supply, and the way to answer them; written.
-
-    ``requests`` has ``key`` and ``qty`` (at least 1); ``supply`` has one row per key
-    with ``opening`` and any columns to carry along.
-    """
-    demand = requests.groupBy(key).agg(
-        F.sum("qty").alias("demand"), F.count("*").alias("request_count")
-    )
+def _ways(supply: DataFrame, demand: DataFrame, key: str, fold_limit: int) -> DataFrame:
+    """Supply of the keys in demand, with the way to answer their requests."""
     way = (
-        F.when(F.col("opening").isNull(), UNKNOWN)
-        .when(F.col("demand") <= F.col("opening"), WHOLE)
+        F.when(F.col("demand") <= F.col("opening"), WHOLE)
         .when(F.col("opening") < 1, NONE)
         .when(F.col("request_count") <= fold_limit, FOLD)
         .otherwise(BLOCKS)
     )
-    return materialize(demand.join(supply, key, "left").withColumn("way", way), "demand")
+    return supply.join(demand, key).withColumn("way", way).drop("demand")
 
 
 def grant_in_order(
@@ -69,51 +59,59 @@ def grant_in_order(
 ) -> DataFrame:
     """All requests with the supply columns and a final ``reason``, NULL when granted.
 
-    Requests that come with a ``reason`` keep it and take nothing. Others get
-    ``unknown`` when their key has no supply and ``too_much`` when their quantity is more
-    than what is left. ``order`` must be unique within a key.
+    ``requests`` has ``key``, ``qty``, ``order``, which must be unique within a key, and
+    ``reason``. Requests that come with a reason keep it and take nothing; the others ask
+    for at least 1. They get ``unknown`` when their key has no supply and ``too_much``
+    when their quantity is more than what is left. ``supply`` has one row per key with
+    ``opening`` and any columns to carry along.
     """
     reason, way = F.col("reason"), F.col("way")
     sound = requests.filter(reason.isNull())
-    demand = demand_per_key(sound, supply, key, fold_limit)
+    # Both are written, so that Spark knows their sizes: a small batch is broadcast
+    # against a large supply, a large one joined by shuffle.
+    demand = materialize(
+        sound.groupBy(key).agg(
+            F.sum("qty").alias("demand"), F.count("*").alias("request_count")
+        ),
+        "demand",
+    )
+    ways = materialize(_ways(supply, demand, key, fold_limit), "ways")
 
     # Spark may split the rows of a hot key here: nothing after the join needs them together.
-    answer = F.when(way.isNull() | (way == UNKNOWN), unknown).when(way == NONE, too_much)
     settled = (
-        requests.join(demand, key, "left")
-        .filter(reason.isNotNull() | way.isNull() | way.isin(UNKNOWN, WHOLE, NONE))
-        .withColumn("reason", F.coalesce(reason, answer))
+        requests.join(ways, key, "left")
+        .filter(reason.isNotNull() | way.isNull() | way.isin(WHOLE, NONE))
+        .withColumn(
+            "reason",
+            F.coalesce(reason, F.when(way.isNull(), unknown).when(way == NONE, too_much)),
+        )
     )
     parts = [settled]
 
-    hot = demand.filter(F.col("request_count") > fold_limit)
-    in_blocks = way == BLOCKS
-    size = hot.agg(
-        F.count("*").alias("keys"),
-        F.sum(F.when(in_blocks, F.col("request_count"))).alias("rows"),
-        F.max(F.when(in_blocks, F.col("opening"))).alias("opening"),
-    ).first()
-    if size["keys"]:
-        if size["keys"] <= BROADCAST_KEYS:
-            hot = F.broadcast(hot)
-        # A fold brings a key's rows together, so hot keys leave before the shuffle.
-        cool = sound.join(hot, key, "left_anti")
-    else:
-        cool = sound
+    hot = demand.filter(F.col("request_count") > fold_limit).select(key)
+    hot_keys = hot.count()
+    few = hot_keys <= BROADCAST_KEYS
+    # A fold brings a key's rows together, so hot keys leave before its shuffle.
+    cool = sound.join(F.broadcast(hot) if few else hot, key, "left_anti") if hot_keys else sound
     refused = F.when(~F.col("granted"), too_much)
-    folded = _fold(cool.join(demand.filter(way == FOLD), key), [key], "opening", order)
+    folded = _fold(cool.join(ways.filter(way == FOLD), key), [key], "opening", order)
     parts.append(folded.withColumn("reason", refused).drop("granted"))
-    if size["rows"]:
-        granted = _grant_in_blocks(
-            sound.join(hot, key).filter(in_blocks),
-            demand.filter(in_blocks),
-            key,
-            order,
-            blocks=math.ceil(size["rows"] / block_rows),
-            levels=size["opening"].bit_length(),
-        )
-        parts.append(granted.withColumn("reason", refused).drop("granted"))
-    return reduce(DataFrame.unionByName, parts).drop("demand", "request_count", "way")
+    if hot_keys:
+        large = ways.filter(way == BLOCKS)
+        size = large.agg(
+            F.sum("request_count").alias("rows"), F.max("opening").alias("opening")
+        ).first()
+        if size["rows"]:
+            granted = _grant_in_blocks(
+                sound.join(F.broadcast(large) if few else large, key),
+                large,
+                key,
+                order,
+                blocks=math.ceil(size["rows"] / block_rows),
+                levels=size["opening"].bit_length(),
+            )
+            parts.append(granted.withColumn("reason", refused).drop("granted"))
+    return reduce(DataFrame.unionByName, parts).drop("request_count", "way")
 
 
 def _fold(df: DataFrame, unit: list[str], opening: str, order: Sequence[str]) -> DataFrame:

@@ -115,12 +115,6 @@ class RetailData:
         line = F.col("l_linenumber")
         whole = F.col("l_quantity").cast("bigint")
         day = F.col("l_shipdate").cast("date")
-        store = (
-            self.read("supplier")
-            .join(self.read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", "r_name")
-        )
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         key = F.concat_ws(
             "|",
@@ -140,7 +134,9 @@ class RetailData:
         lines = (
             self.read("lineitem")
             .repartitionByRange("l_shipdate", "l_orderkey", "l_linenumber")
-            .join(store, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
                 F.md5(key).alias("sale_id"),
                 F.when(~((whole == 3) & (line == 3)), day).alias("sold_on"),
