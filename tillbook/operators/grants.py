@@ -199,6 +199,7 @@ def _grant_in_blocks(
             "block", F.spark_partition_id()
         ),
         "request-blocks",
+        partition_by="block",
     )
     summary = materialize(_summarise(placed, key, order, levels), "block-summary")
     before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -220,18 +221,20 @@ def _grant_in_blocks(
             .withColumn("entry", F.col("left") - zero_if_null(F.sum("small").over(before)))
         )
         floor = F.expr("shiftleft(1L, level)")
-        stops = (F.col("entry") - F.col("small") < floor) | F.coalesce(
+        falls = (F.col("entry") - F.col("small") < floor) | F.coalesce(
             F.col("fits") <= F.col("entry"), F.lit(False)
         )
-        first_stop = F.min(F.when(stops, F.col("block"))).over(Window.partitionBy(key))
+        first_stop = F.min(F.when(falls, F.col("block"))).over(Window.partitionBy(key))
         reached = materialize(
             ahead.withColumn("stop", first_stop)
             .filter(F.col("stop").isNull() | (F.col("block") <= F.col("stop")))
-            .select(key, "block", "entry", (F.col("block") == F.col("stop")).alias("stops")),
+            .select(key, "block", "entry", "stop"),
             "block-entries",
         )
         entries.append(reached.select(key, "block", "entry"))
-        stopped = placed.join(reached.filter("stops"), [key, "block"])
+        # Blocks are partitions of the written table: only the stops are read.
+        stops = reached.filter(F.col("block") == F.col("stop")).drop("stop")
+        stopped = placed.select(key, "block", *order, "qty").join(stops, [key, "block"])
         used = F.sum(F.when(F.col("granted"), F.col("qty")).otherwise(0))
         state = materialize(
             _fold(stopped, [key, "block"], "entry", order)

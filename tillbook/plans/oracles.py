@@ -320,15 +320,59 @@ _PRODUCER_DAYS = """
   from producer_shares where share < {limit}"""
 
 
-def _percent_text(column: str) -> str:
-    return (
-        f"cast({column} // 100 as varchar) || '.' || "
-        f"lpad(cast({column} % 100 as varchar), 2, '0')"
-    )
-
+_ACTION_FEED = """
+      select 1 as section, cast(0 as bigint) as tie_key, 'special_day_promotion' as type,
+        cast(id as varchar) as id,
+        case when gift_season then 'Gift promotion for ' else 'Promotion for ' end || name
+          as title,
+        name || case when gift_season
+          then ' is near. Prepare gift offers on tablets, phones and smartwatches.'
+          else ' is near. Promote phones, tablets and laptops.' end as description,
+        'Run the offers from ' || strftime(starts_on, '%d-%m-%Y') || ' to '
+          || strftime(ends_on, '%d-%m-%Y') || case when gift_season
+          then '. Consider discounts, free delivery or gift wrapping.'
+          else '. Consider discounts, bundles or extras.' end as more_info
+      from special_day
+      union all
+      select 2, 0, 'zero_sales_cities', 'zero_sales', 'Places with no sales',
+        'No revenue in: ' || places,
+        'Consider discounts, marketing, or closing these places to save cost.'
+      from {zero}
+      union all
+      select 2, 0, 'lowest_store_sales', coalesce(place, '(no place)'),
+        'Place with the lowest sales: ' || coalesce(place, '(no place)'),
+        'Total sales there: ' || cast(total_sales as varchar),
+        'Consider discounts, marketing or a campaign to raise sales there.'
+      from lowest_place where not exists (select 1 from {zero})
+      union all
+      select 3, 0, 'best_selling', cast(product_id as varchar),
+        'Order more of: ' || product_name,
+        'Best seller: ' || product_name || ' (' || cast(total_qty as varchar) || ' units sold)',
+        'Consider a larger order; customers buy this product most often.'
+      from top_product
+      union all
+      select 4, producer_id, 'producer_day', cast(producer_id as varchar),
+        producer_name || ' Day',
+        'Recent sales of ' || producer_name || ' are only ' || cast(hundredths // 100 as varchar) || '.'
+          || lpad(cast(hundredths % 100 as varchar), 2, '0')
+          || '% of all its sales.',
+        'Hold a ' || producer_name || ' Day: add accessories, run promotions or an event.'
+      from producer_shares where share < 40
+      union all
+      select 5, product_id, 'product_discount', cast(product_id as varchar),
+        'Discount for: ' || product_name,
+        cast(days_in_stock as varchar) || ' days in stock, only '
+          || cast(hundredths // 100 as varchar) || '.'
+          || lpad(cast(hundredths % 100 as varchar), 2, '0') || '% sold.',
+        'Lower the price by ' || cast(discount as varchar) || '%.'
+      from slow"""
 
 _QUERIES = {
     "export_roundtrip": f"select {_PRODUCT_ROW} from products",
+    "export_sales": """
+      select sale_id, sold_on, cast(amount as double) as amount, product_id, place, qty
+      from sales""",
+    "export_returns": "select * from returned_goods",
     "import_products": "select * from accepted_rows",
     "import_rejected": """
       select product_name, category_name, buy_price, sell_price, color, producer_name, sku,
@@ -337,6 +381,12 @@ _QUERIES = {
     "import_unresolved": """
       select sku, category_id, producer_id from accepted_rows
       where category_id is null or producer_id is null""",
+    "import_appended": f"""
+      select {_PRODUCT_ROW} from products
+      union all
+      select null, product_name, category_id, buy_price, sell_price, color, producer_id, sku,
+        description, stock_qty, 0, 0, ordered_on
+      from accepted_rows""",
     "import_dates": "select sku, ordered_on from accepted_rows",
     "intake_violations": "select row_key, rule from violations where rule is not null",
     "intake_violation_counts": """
@@ -426,50 +476,10 @@ _QUERIES = {
       select product_id, product_name, days_in_stock, stock_qty, total_qty,
         cast(hundredths as double) / 100 as sold_pct, discount
       from slow""",
-    "action_feed": f"""
-      select 1 as section, cast(0 as bigint) as tie_key, 'special_day_promotion' as type,
-        cast(id as varchar) as id,
-        case when gift_season then 'Gift promotion for ' else 'Promotion for ' end || name
-          as title,
-        name || case when gift_season
-          then ' is near. Prepare gift offers on tablets, phones and smartwatches.'
-          else ' is near. Promote phones, tablets and laptops.' end as description,
-        'Run the offers from ' || strftime(starts_on, '%d-%m-%Y') || ' to '
-          || strftime(ends_on, '%d-%m-%Y') || case when gift_season
-          then '. Consider discounts, free delivery or gift wrapping.'
-          else '. Consider discounts, bundles or extras.' end as more_info
-      from special_day
-      union all
-      select 2, 0, 'zero_sales_cities', 'zero_sales', 'Places with no sales',
-        'No revenue in: ' || places,
-        'Consider discounts, marketing, or closing these places to save cost.'
-      from zero_places
-      union all
-      select 2, 0, 'lowest_store_sales', coalesce(place, '(no place)'),
-        'Place with the lowest sales: ' || coalesce(place, '(no place)'),
-        'Total sales there: ' || cast(total_sales as varchar),
-        'Consider discounts, marketing or a campaign to raise sales there.'
-      from lowest_place where not exists (select 1 from zero_places)
-      union all
-      select 3, 0, 'best_selling', cast(product_id as varchar),
-        'Order more of: ' || product_name,
-        'Best seller: ' || product_name || ' (' || cast(total_qty as varchar) || ' units sold)',
-        'Consider a larger order; customers buy this product most often.'
-      from top_product
-      union all
-      select 4, producer_id, 'producer_day', cast(producer_id as varchar),
-        producer_name || ' Day',
-        'Recent sales of ' || producer_name || ' are only ' || {_percent_text("hundredths")}
-          || '% of all its sales.',
-        'Hold a ' || producer_name || ' Day: add accessories, run promotions or an event.'
-      from producer_shares where share < 40
-      union all
-      select 5, product_id, 'product_discount', cast(product_id as varchar),
-        'Discount for: ' || product_name,
-        cast(days_in_stock as varchar) || ' days in stock, only '
-          || {_percent_text("hundredths")} || '% sold.',
-        'Lower the price by ' || cast(discount as varchar) || '%.'
-      from slow""",
+    "action_feed": _ACTION_FEED.format(zero="zero_places"),
+    "action_feed_all_places_sell": _ACTION_FEED.format(
+        zero="(select * from zero_places where false)"
+    ),
     "apply_sales_accepted": """
       select request_id as sale_id, sold_on, cast(sell_price * qty as double) as amount,
         product_id, place, qty

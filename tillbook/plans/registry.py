@@ -12,7 +12,6 @@ from tillbook.operators import actions, catalog, compare, intake, ledger, listin
 from tillbook.plans.staging import AS_OF, RetailData, retail_data
 from tillbook.plans.worktables import new_path
 from tillbook.sources import export_table
-from tillbook.sources.schemas import PRODUCTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,10 +31,10 @@ def _money_as_double(df: DataFrame) -> DataFrame:
     )
 
 
-def _export_roundtrip(d: RetailData) -> DataFrame:
+def _export_roundtrip(d: RetailData, df: DataFrame, fmt: str) -> DataFrame:
     path = new_path(d.spark, "export")
-    export_table(d.products, path, "csv")
-    return d.spark.read.schema(PRODUCTS).option("header", True).csv(path)
+    export_table(df, path, fmt)
+    return d.spark.read.schema(df.schema).option("header", True).format(fmt).load(path)
 
 
 def _import(d: RetailData) -> intake.Intake:
@@ -49,6 +48,16 @@ def _import_unresolved(d: RetailData) -> DataFrame:
     )
 
 
+def _without_new_ids(products: DataFrame, prefix: str) -> DataFrame:
+    """Products with the ids of rows added under ``prefix`` blanked: they follow file order."""
+    is_new = F.col("sku").startswith(prefix)
+    return products.withColumn("product_id", F.when(~is_new, F.col("product_id")))
+
+
+def _import_appended(d: RetailData) -> DataFrame:
+    return _without_new_ids(catalog.append_products(d.products, _import(d).accepted), "NEW-")
+
+
 def _domain_values(d: RetailData) -> DataFrame:
     return (
         intake.domain_values(d.categories, "category_name")
@@ -85,11 +94,13 @@ def _stock(products: DataFrame) -> DataFrame:
     return products.select("product_id", "stock_qty", "sold_qty")
 
 
+def _action_feed(d: RetailData, places: DataFrame) -> DataFrame:
+    return actions.action_feed(d.products, d.producers, d.sales, d.special_days, places, AS_OF)
+
+
 def _added(d: RetailData) -> DataFrame:
-    """All products after an addition; new ids are left out, they depend on file order."""
     added = catalog.add_products(d.products, d.new_products).products
-    is_new = F.col("sku").startswith("ADD-")
-    return added.withColumn("product_id", F.when(~is_new, F.col("product_id")))
+    return _without_new_ids(added, "ADD-")
 
 
 def _changed(d: RetailData) -> catalog.Change:
@@ -98,10 +109,13 @@ def _changed(d: RetailData) -> catalog.Change:
 
 _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     # sources and sinks
-    "export_roundtrip": _export_roundtrip,
+    "export_roundtrip": lambda d: _export_roundtrip(d, d.products, "csv"),
+    "export_sales": lambda d: _export_roundtrip(d, d.sales, "parquet"),
+    "export_returns": lambda d: _export_roundtrip(d, d.returns, "csv"),
     "import_products": lambda d: _import(d).accepted,
     "import_rejected": lambda d: _import(d).rejected,
     "import_unresolved": _import_unresolved,
+    "import_appended": _import_appended,
     "import_dates": lambda d: _import(d).accepted.select("sku", "ordered_on"),
     "intake_violations": _violations,
     "intake_violation_counts": lambda d: intake.count_violations(_violations(d)),
@@ -141,9 +155,8 @@ _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     "producer_days": lambda d: _producer_days(d, actions.PRODUCER_SHARE_LIMIT),
     "producer_days_low": lambda d: _producer_days(d, LOW_SHARE_LIMIT),
     "slow_mover_discounts": lambda d: actions.slow_mover_discounts(d.products, d.sales, AS_OF),
-    "action_feed": lambda d: actions.action_feed(
-        d.products, d.producers, d.sales, d.special_days, d.places, AS_OF
-    ),
+    "action_feed": lambda d: _action_feed(d, d.places),
+    "action_feed_all_places_sell": lambda d: _action_feed(d, d.selling_places),
     # stock ledger and catalog
     "apply_sales_accepted": lambda d: _apply_sales(d).accepted,
     "apply_sales_rejected": lambda d: _apply_sales(d).rejected,

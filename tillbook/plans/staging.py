@@ -204,6 +204,11 @@ class RetailData:
         )
         return regions.unionByName(unknown)
 
+    @property
+    def selling_places(self) -> DataFrame:
+        """The places that sales know."""
+        return self.places.filter(F.col("place") != "OCEANIA")
+
     @property
     def mapped_places(self) -> DataFrame:
         """The places on the map: all of them but one region."""
