@@ -259,7 +259,7 @@ class RetailData:
         """Products with a tenth of the stock, so that sale requests run short."""
         return self.products.withColumn("stock_qty", F.expr("stock_qty div 10"))
 
-    @property
+    @cached_property
     def sale_requests(self) -> DataFrame:
         """Every sale line as a request; served by day, then id."""
         units, line = F.col("units"), F.col("line")
@@ -271,9 +271,9 @@ class RetailData:
             "place",
             "sold_on",
         )
-        return requests.select(*SALE_REQUESTS.fieldNames())
+        return self._work("sale_requests", requests.select(*SALE_REQUESTS.fieldNames()))
 
-    @property
+    @cached_property
     def return_requests(self) -> DataFrame:
         """A request for every returned line, and a second one for open lines."""
         units, line = F.col("units"), F.col("line")
@@ -300,9 +300,10 @@ class RetailData:
             F.when(units != 9, F.col("tax") >= 0.02).alias("defective"),
             F.lit("again").alias("description"),
         )
-        return first.unionByName(second).select(*RETURN_REQUESTS.fieldNames())
+        requests = first.unionByName(second).select(*RETURN_REQUESTS.fieldNames())
+        return self._work("return_requests", requests)
 
-    @property
+    @cached_property
     def product_changes(self) -> DataFrame:
         """A change for every part, some faulty, and a later second one for one brand."""
         size = F.col("p_size")
@@ -330,13 +331,13 @@ class RetailData:
             .withColumn("seq", F.lit(2).cast("bigint"))
             .withColumn("color", F.lit("repainted"))
         )
-        return first.unionByName(second).drop("p_brand")
+        return self._work("product_changes", first.unionByName(second).drop("p_brand"))
 
-    @property
+    @cached_property
     def new_products(self) -> DataFrame:
         """Every part as a product to add, some without a required field."""
         size = F.col("p_size")
-        return self._parts().select(
+        rows = self._parts().select(
             F.when(size == 41, "").otherwise(F.col("product_name")).alias("product_name"),
             "category_id",
             "buy_price",
@@ -350,6 +351,7 @@ class RetailData:
             size.cast("bigint").alias("stock_qty"),
             F.col("day").alias("ordered_on"),
         )
+        return self._work("new_products", rows)
 
     @property
     def product_pairs(self) -> DataFrame:
