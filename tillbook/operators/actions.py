@@ -17,13 +17,23 @@ from tillbook.functions import percent, zero_if_null
 from tillbook.operators.sales import revenue_per_place, units_by_product
 from tillbook.plans.worktables import materialize
 
+# Months that count as recent, and the percentages below which a producer
+# gets a day and up to which a product counts as slow.
 RECENT_MONTHS = 5
 PRODUCER_SHARE_LIMIT = 40
 SLOW_MOVER_SHARE = 10
 
-# A discount step applies after more than this many days in stock.
+# More than this many days in stock give this discount in percent.
 DISCOUNT_STEPS = [(90, 20), (60, 10), (30, 5)]
 
+# The type codes of the actions.
+SPECIAL_DAY_PROMOTION = "special_day_promotion"
+ZERO_SALES_CITIES = "zero_sales_cities"
+LOWEST_STORE_SALES = "lowest_store_sales"
+BEST_SELLING = "best_selling"
+PRODUCER_DAY = "producer_day"
+PRODUCT_DISCOUNT = "product_discount"
+
 # Fixed value: special days that get the gift wording unless the caller names others.
 GIFT_SEASONS = frozenset({"Communion"})
 
@@ -233,7 +243,7 @@ def _special_day_record(day: DataFrame) -> DataFrame:
     return _record(
         day,
         1,
-        "special_day_promotion",
+        SPECIAL_DAY_PROMOTION,
         F.lit(0),
         id=F.col("id"),
         title=F.concat(F.when(gift, "Gift promotion for ").otherwise("Promotion for "), name),
@@ -259,7 +269,7 @@ def _place_records(zero: DataFrame, lowest: DataFrame) -> DataFrame:
     zero_record = _record(
         zero,
         2,
-        "zero_sales_cities",
+        ZERO_SALES_CITIES,
         F.lit(0),
         id=F.lit("zero_sales"),
         title=F.lit("Places with no sales"),
@@ -270,7 +280,7 @@ def _place_records(zero: DataFrame, lowest: DataFrame) -> DataFrame:
     lowest_record = _record(
         lowest.filter(~zero.exists()),
         2,
-        "lowest_store_sales",
+        LOWEST_STORE_SALES,
         F.lit(0),
         id=place,
         title=F.concat(F.lit("Place with the lowest sales: "), place),
@@ -286,7 +296,7 @@ def _reorder_record(best: DataFrame) -> DataFrame:
     return _record(
         best,
         3,
-        "best_selling",
+        BEST_SELLING,
         F.lit(0),
         id=F.col("product_id"),
         title=F.concat(F.lit("Order more of: "), F.col("product_name")),
@@ -305,7 +315,7 @@ def _producer_records(days: DataFrame) -> DataFrame:
     return _record(
         days,
         4,
-        "producer_day",
+        PRODUCER_DAY,
         F.col("producer_id"),
         id=F.col("producer_id"),
         title=F.concat(F.col("producer_name"), F.lit(" Day")),
@@ -329,7 +339,7 @@ def _discount_records(discounts: DataFrame) -> DataFrame:
     return _record(
         discounts,
         5,
-        "product_discount",
+        PRODUCT_DISCOUNT,
         F.col("product_id"),
         id=F.col("product_id"),
         title=F.concat(F.lit("Discount for: "), F.col("product_name")),
@@ -358,8 +368,9 @@ def action_feed(
 
     Special day, then places without sales or else the weakest place, then the
     reorder, then producer days, then discounts. One row of type ``none`` when there
-    is no action. Sales are read once, into a rollup, and products joined to it once;
-    both are written to the work folder.
+    is no action. Sales are read once, into a rollup, and products joined to it once.
+    Both are written to the work folder, and so is the list before it is ordered:
+    ordering reads its input twice.
     """
     rollup = materialize(sales_rollup(sales, recent_cut(as_of, months)), "sales-rollup")
     by_place = rollup.groupBy("place").agg(F.sum("total_sales").alias("total_sales"))
@@ -376,6 +387,7 @@ def action_feed(
         .unionByName(_producer_records(_producer_days(units, producers, threshold)))
         .unionByName(_discount_records(_slow_mover_discounts(units, as_of)))
     )
+    actions = materialize(actions, "actions")
     nothing = _record(
         products.sparkSession.range(1),
         6,

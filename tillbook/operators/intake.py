@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions import is_blank, normalize_date, whole_number
-from tillbook.sources.schemas import PRODUCT_ATTRIBUTES, RAW_PRODUCT_COLUMNS
+from tillbook.sources.schemas import MONEY, PRODUCT_ATTRIBUTES, RAW_PRODUCT_COLUMNS
 
-MONEY = "decimal(18,2)"
+# The order dates the template allows.
+FIRST_ORDER_DATE = "2000-01-01"
+LAST_ORDER_DATE = "2100-12-31"
 
 
 class Intake(NamedTuple):
@@ -107,7 +109,7 @@ def template_rules() -> dict[str, Column]:
 
     day = normalize_date(F.col("ordered_on"))
     in_range = F.coalesce(
-        day.between(F.lit("2000-01-01").cast("date"), F.lit("2100-12-31").cast("date")),
+        day.between(F.lit(FIRST_ORDER_DATE).cast("date"), F.lit(LAST_ORDER_DATE).cast("date")),
         F.lit(False),
     )
     return {
