@@ -157,6 +157,25 @@ def test_fold_carries_state_over_arrow_batches(spark):
     assert actual == brute_force(requests, stock)
 
 
+def test_fold_survives_a_join_that_turns_broadcast_at_run_time(spark):
+    requests, stock = contested(12)
+    supply = spark.createDataFrame(list(stock.items()), "product_id long, opening long")
+    asked = spark.createDataFrame(
+        requests, "product_id long, seq long, request_id string, qty long"
+    ).withColumn("reason", F.lit(None).cast("string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        verdicts = grants.grant_in_order(
+            asked.repartition(5), supply, "product_id", "unknown", "too much"
+        )
+        actual = {row["request_id"]: row["reason"] is None for row in verdicts.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert actual == brute_force(requests, stock)
+
+
 def test_hot_product_in_blocks_gives_the_same_ledger(spark):
     requests, stock = contested(4, requests=200)
     goods = make.products(spark, *[{"product_id": p, "stock_qty": s} for p, s in stock.items()])
