@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import exact_dedup, shard_tree
+from tillbook.llm import exact_dedup, factor_machine, shard_tree, superminhash
 from tillbook.llm.common import table
 
 #: 40 shards: 4 regions of 5 racks of 2.
 SHARD_TREE = shard_tree.regular_tree(4, 5, 2)
 
 
+def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_tree.shard_documents(table(spark, sf_dir, "documents"), SHARD_TREE)
     return rows.withColumn("law", F.lit("key"))
@@ -26,8 +30,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return factor_machine.score(docs, factor_machine.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_shard_tree, op5_exact_dedup)
+    f.__name__: f
+    for f in (
+        op3_superminhash,
+        op4_shard_tree,
+        op5_exact_dedup,
+        op9_factor_machine,
+    )
 }
 
 #: DuckDB SQL for the queries that SQL can express.
