@@ -69,6 +69,9 @@ def stream_session(spark: SparkSession) -> SparkSession:
     own = spark.newSession()
     for key, value in (
         ("spark.sql.streaming.stateStore.providerClass", STATE_STORE),
+        # thousands of small stores: no space set aside for each, only changes uploaded
+        ("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"),
+        ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"),
         ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")),
         ("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone")),
     ):
