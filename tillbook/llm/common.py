@@ -69,9 +69,24 @@ def with_positions(
         .select(group, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     )
     rank = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
-    ranked = df.withColumn("_bucket", bucket).withColumn("_rank", rank)
+    ranked = df.withColumn("_bucket", bucket).withColumn("_nth", rank)
     return (
         ranked.join(starts, [group, "_bucket"])
-        .withColumn(out, (F.col("_start") + F.col("_rank") - 1).cast("long"))
-        .drop("_bucket", "_start", "_rank")
+        .withColumn(out, (F.col("_start") + F.col("_nth") - 1).cast("long"))
+        .drop("_bucket", "_start", "_nth")
+    )
+
+
+def quality_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): high or low, as the quality label is 1 or 0; other rows are left out."""
+    domain = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", domain.alias("domain")).filter("domain is not null")
+
+
+def quality_and_toxicity_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): toxic, else high or low; rows without a label 0 or 1 are left out."""
+    toxic = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "")
+    domain = F.when(toxic == "toxic", toxic).when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", F.when(toxic.isNotNull(), domain).alias("domain")).filter(
+        "domain is not null"
     )

@@ -118,6 +118,13 @@ def deduplicate(docs: DataFrame, digest=sha256) -> DataFrame:
     )
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns."""
+    docs, at = located(docs)
+    dropped = deduplicate(docs).filter("not kept").select(F.col("at").alias("_at"))
+    return docs.join(dropped, at == dropped["_at"], "left_anti")
+
+
 def _folder_of(df: DataFrame) -> str:
     return df.inputFiles()[0].rsplit("/", 1)[0]
 

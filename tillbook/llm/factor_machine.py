@@ -213,6 +213,22 @@ def train(numbers: dict[int, int], terms: np.ndarray, lengths: np.ndarray, y: np
     return Machine(numbers, bias, w, v)
 
 
+def without_toxic(docs: DataFrame, machine: Machine | None) -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with all their columns; see ``score``."""
+    known = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = known.value
+        remembered = _Remembered(machine.numbers) if machine else None
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string())
+            clean = [not machine or machine.score(term_set(t.as_py(), remembered)) < 0.5 for t in texts]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted.
 

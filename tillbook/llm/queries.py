@@ -4,14 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import exact_dedup, factor_machine, shard_tree, superminhash
-from tillbook.llm.common import table
+from tillbook.llm import (
+    anchor_pii,
+    bin_packing,
+    block_text,
+    edit_counts,
+    exact_dedup,
+    factor_machine,
+    shard_tree,
+    soft_mixing,
+    spherical_cells,
+    superminhash,
+)
+from tillbook.llm.common import quality_and_toxicity_domains, table
 
 #: 40 shards: 4 regions of 5 racks of 2.
 SHARD_TREE = shard_tree.regular_tree(4, 5, 2)
+#: Shares of expected tokens by domain.
+MIXTURE = {"high": 0.8, "low": 0.15, "toxic": 0.05}
+
+
+def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchor_pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op2_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,18 +51,58 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return soft_mixing.rates(soft_mixing.fit(docs, quality_and_toxicity_domains(labels), MIXTURE))
+
+
+def op7_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_cells.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return factor_machine.score(docs, factor_machine.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after three edits of each.
+
+    The places of the edits follow from doc_id and the length of the text: a word is put
+    in, a stretch is taken out, and the text's own beginning replaces another stretch.
+    """
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+
+    def at(number: int) -> Column:
+        place = F.pmod(F.xxhash64("doc_id", F.lit(number)), F.greatest(F.length(text), F.lit(1)))
+        return place.cast("int")
+
+    edits = F.array(
+        F.struct(at(1).alias("at"), F.lit(0).alias("removed"), F.lit(" amended\n").alias("inserted")),
+        F.struct(at(2).alias("at"), F.lit(40).alias("removed"), F.lit("").alias("inserted")),
+        F.struct(at(3).alias("at"), F.lit(7).alias("removed"), F.substring(text, 1, 20).alias("inserted")),
+    )
+    return edit_counts.recount(docs, edits)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_anchor_pii,
+        op2_block_text,
         op3_superminhash,
         op4_shard_tree,
         op5_exact_dedup,
+        op6_soft_mixing,
+        op7_bin_packing,
+        op8_spherical_cells,
         op9_factor_machine,
+        op10_edit_counts,
     )
 }
 

@@ -255,6 +255,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    dropped = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+
+
 def _bucket_members(classes: DataFrame) -> DataFrame:
     """(band, rep, n, pivot, size, total): the representatives of each band key with several.
 
