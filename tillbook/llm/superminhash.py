@@ -23,14 +23,15 @@ from tillbook.plans.worktables import materialize
 WORDS = 5
 #: Similarity in percent from which two documents are linked.
 PERCENT = 75
-#: A pair at the threshold shares no band of 32 times 4 values with probability 5e-6.
-BANDS, ROWS = 32, 4
+#: A pair at the threshold shares no band of 24 times 4 values with probability 1e-4.
+BANDS, ROWS = 24, 4
 PLACES = BANDS * ROWS
-#: Shingles that are signed at once, and that one block of a large bucket holds.
+#: Shingles that are signed at once, and that one block of a group of candidates holds.
 SIGNED_AT_ONCE = 200_000
-BLOCK_SHINGLES = 400_000
-#: Documents compared with one copy of a pivot's set.
-ROWS_PER_COPY = 500
+BLOCK_SHINGLES = 100_000
+#: Blocks up to which candidates that hang together are compared as one group; beyond,
+#: each bucket is a group of its own.
+MOST_BLOCKS = 16
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -67,7 +68,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     doc = np.repeat(np.arange(len(sets)), sizes)
     order = None  # of each element still in play: its permutation, drawn as far as needed
     for level in range(PLACES):
-        drawn = _mix(elements + np.uint64(level + 1) * _GOLDEN)
+        drawn = _mix(elements + np.uint64((level + 1) * int(_GOLDEN) % 2**64))
         rank = level + (drawn >> np.uint64(11)).astype(np.float64) * 2.0**-53
         span = np.uint64(PLACES - level)
         at = level + (((_mix(drawn ^ _ODD) >> np.uint64(32)) * span) >> np.uint64(32)).astype(np.intp)
@@ -136,13 +137,13 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def linked_in_block(reps: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple]:
-    """Links between the sets of a block that join different labels, enough to connect them.
+def linked_in_block(reps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between the sets of a block, as many as connect what links connect.
 
     Overlaps come from an inverted index of the block: for each set the owners of its
     shingles are counted.
     """
-    root = {x: x for x in labels}
+    root = {x: x for x in reps}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -169,7 +170,7 @@ def linked_in_block(reps: list[int], labels: list[int], sets: list[np.ndarray])
         near = 100 * shared >= PERCENT * (sizes[i] + sizes - shared)
         near[: i + 1] = False
         for j in np.flatnonzero(near):
-            a, b = find(labels[i]), find(labels[j])
+            a, b = find(reps[i]), find(reps[j])
             if a != b:
                 root[max(a, b)] = min(a, b)
                 apart -= 1
@@ -178,25 +179,24 @@ def linked_in_block(reps: list[int], labels: list[int], sets: list[np.ndarray])
 
 
 def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive with the members of a block together; blocks may span batches."""
-    block, reps, labels, sets = None, [], [], []
+    """Rows (group, i, j, rep, hashes) arrive with those of a block pair together."""
+    block, reps, sets = None, [], []
 
     def links() -> pa.RecordBatch:
-        found = linked_in_block(reps, labels, sets)
+        found = linked_in_block(reps, sets)
         return pa.RecordBatch.from_arrays(
             [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
         )
 
     for batch in batches:
         keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        hashes = batch.column(5)
+        ids, hashes = batch.column(3).to_pylist(), batch.column(4)
         for i, key in enumerate(keys):
             if key != block:
                 if len(reps) > 1:
                     yield links()
-                block, reps, labels, sets = key, [], [], []
-            reps.append(batch.column(3)[i].as_py())
-            labels.append(batch.column(4)[i].as_py())
+                block, reps, sets = key, [], []
+            reps.append(ids[i])
             sets.append(hashes[i].values.to_numpy())
     if len(reps) > 1:
         yield links()
@@ -233,11 +233,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .dropDuplicates(["rep"]),
         "sets",
     )
-    links = materialize(_star_links(members, sets), "star-links")
+    links = materialize(_links(_groups(members), sets), "links")
     labels = connected_components(links)
-    more = materialize(_block_links(members, sets, labels), "block-links")
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
     of_class = (
         classes.select("digest", "rep")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -262,86 +259,69 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def _bucket_members(classes: DataFrame) -> DataFrame:
-    """(band, rep, n, pivot, size, total): the representatives of each band key with several.
+    """(band, rep, n, pivot): the representatives of each band key that several share.
 
-    Buckets with the same members in several bands are kept once. ``pivot`` is the smallest
-    member, ``total`` the number of shingles in the bucket.
+    ``pivot`` is the smallest of them.
     """
     keys = classes.select("rep", "n", F.explode("bands").alias("band"))
-    buckets = (
+    shared = (
         keys.groupBy("band")
-        .agg(
-            F.min("rep").alias("pivot"),
-            F.count("*").alias("size"),
-            F.sum("n").alias("total"),
-            F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"),
-            F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"),
-        )
-        .filter("size > 1")
-        .groupBy("pivot", "size", "total", "sum", "xor")
-        .agg(F.min("band").alias("band"))
-        .drop("sum", "xor")
+        .agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"))
+        .filter("pivot <> last")
+        .select("band", "pivot")
     )
-    return materialize(keys.join(buckets, "band"), "members")
+    return materialize(keys.join(shared, "band"), "members")
 
 
-def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links of each member with the smallest pivot of its buckets.
+def _groups(members: DataFrame) -> DataFrame:
+    """(group, rep, blocks): candidates that are compared with each other.
 
-    A pivot's set is repeated once for every so many members that ask for it.
+    Candidates that hang together over shared bands form a group, in which each appears
+    once. Where such a group is very large, its buckets are the groups instead, so that
+    comparisons stay those of a bucket.
     """
-    pairs = members.groupBy("rep").agg(F.min("pivot").alias("pivot")).filter("rep <> pivot")
-    copies = F.ceil(F.col("asked") / ROWS_PER_COPY)
-    asked = materialize(pairs.groupBy("pivot").agg(F.count("*").alias("asked")), "asked")
-    pivots = asked.join(sets.select(F.col("rep").alias("pivot"), F.col("hashes").alias("other")), "pivot").select(
-        "pivot", "other", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy")
+    hang = connected_components(
+        members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     )
-    shared = F.size(F.array_intersect("hashes", "other"))
-    union = F.size("hashes") + F.size("other") - shared
-    return (
-        pairs.join(asked, "pivot")
-        .withColumn("copy", F.pmod(F.xxhash64("rep"), copies))
-        .join(sets, "rep")
-        .join(pivots, ["pivot", "copy"])
-        .filter(shared * 100 >= union * PERCENT)
-        .select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    placed = materialize(
+        members.select("rep", "n").distinct().join(hang.withColumnRenamed("node", "rep"), "rep"),
+        "placed",
+    )
+    blocks = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    sizes = placed.groupBy("component").agg(blocks)
+    whole = placed.join(sizes.filter(F.col("blocks") <= MOST_BLOCKS), "component").select(
+        F.col("component").alias("group"), "rep", "blocks"
+    )
+    large = placed.join(sizes.filter(F.col("blocks") > MOST_BLOCKS), "component").select("rep")
+    in_buckets = members.join(large, "rep").select("band", "rep", "n")
+    bucket_sizes = in_buckets.groupBy("band").agg(blocks)
+    buckets = in_buckets.join(bucket_sizes, "band").select(
+        F.col("band").alias("group"), "rep", "blocks"
     )
+    # kinds are told apart: a band key may equal a doc_id
+    return whole.withColumn("kind", F.lit(0)).unionByName(buckets.withColumn("kind", F.lit(1)))
 
 
-def _block_links(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Confirmed links inside the buckets that still hold several components.
+def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links inside the groups.
 
-    A bucket is cut into blocks of bounded size and each pair of blocks is compared in one
-    task, so that no bucket is gathered whole; only links that join components come out.
+    A group is cut into blocks of bounded size and each pair of blocks is compared in one
+    task, so that no group is gathered whole; links that close a circle are left out.
     """
-    labelled = materialize(
-        members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "band", "rep", "total", F.coalesce("component", "rep").alias("component")
-        ),
-        "labelled",
-    )
-    apart = (
-        labelled.groupBy("band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low <> high")
-        .select("band")
-    )
-    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    mine = F.pmod(F.xxhash64("rep", F.lit(2)), blocks).cast("int")
+    mine = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
     pairs = F.explode(
         F.transform(
-            F.sequence(F.lit(0), blocks - 1),
+            F.sequence(F.lit(0), F.col("blocks") - 1),
             lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")),
         )
     )
     rows = (
-        labelled.join(apart, "band")
-        .join(sets, "rep")
-        .select("band", "rep", "component", "hashes", pairs.alias("pair"))
-        .select("band", "pair.i", "pair.j", "rep", "component", "hashes")
+        groups.join(sets, "rep")
+        .select(F.xxhash64("kind", "group").alias("group"), "rep", "hashes", pairs.alias("pair"))
+        .select("group", "pair.i", "pair.j", "rep", "hashes")
     )
     return (
-        rows.repartition("band", "i", "j")
-        .sortWithinPartitions("band", "i", "j")
+        rows.repartition("group", "i", "j")
+        .sortWithinPartitions("group", "i", "j")
         .mapInArrow(_link_blocks, "a long, b long")
     )
