@@ -10,17 +10,21 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from functools import cached_property
 
 from pyspark.sql import SparkSession
 
-from __spark_entry__ import queries
+from tillbook.plans.registry import all_queries
 from tillbook.plans.staging import RetailData, retail_data
+from tillbook.plans.worktables import drop_work_tables
 
 SOURCE = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+# The folder that executors share; on one machine any folder is.
+WORK = os.environ.get("BENCH_WORK_DIR") or tempfile.mkdtemp(prefix="bench-")
 
 
 def timed(action) -> float:
@@ -38,6 +42,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", WORK)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -53,7 +58,7 @@ def main() -> None:
     stage(RetailData(spark, SOURCE))
     seconds = {"stage_tables": round(timed(lambda: stage(retail_data(spark, SOURCE))), 3)}
     only = sys.argv[1:]
-    for name, query in queries().items():
+    for name, query in all_queries().items():
         if only and name not in only:
             continue
         run(query)
@@ -71,6 +76,7 @@ def main() -> None:
             }
         )
     )
+    drop_work_tables(spark)
     spark.stop()
 
 

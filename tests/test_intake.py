@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions import normalize_date, percent, whole_number
 from tillbook.operators import intake
-from tillbook.sources import export_table, load_tables, read_raw_products, schemas
+from tillbook.sources import export_table, read_export, load_tables, read_raw_products, schemas
 
 
 def test_missing_column_is_named(spark):
@@ -140,8 +140,8 @@ def test_export_keeps_every_row_and_column(spark, tmp_path, fmt):
     goods = make.products(spark, {}, {"product_id": 2, "description": 'a "b", c', "stock_qty": None})
     path = str(tmp_path / "out")
     export_table(goods, path, fmt)
-    reader = spark.read.schema(schemas.PRODUCTS).format(fmt).option("header", True)
-    assert make.sorted_rows(reader.load(path)) == make.sorted_rows(goods)
+    back = read_export(spark, path, schemas.PRODUCTS, fmt)
+    assert make.sorted_rows(back) == make.sorted_rows(goods)
     with pytest.raises(Exception, match="already exists"):
         export_table(goods, path, fmt)
 

@@ -8,12 +8,13 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-import __spark_entry__ as spark_entry
+from tillbook.plans.oracles import all_oracles
+from tillbook.plans.registry import all_queries
 
 SOURCE = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem".split()
-QUERIES = spark_entry.queries()
-ORACLES = spark_entry.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")

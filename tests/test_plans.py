@@ -6,12 +6,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as spark_entry
 from tillbook.operators import actions, compare, listings, sales
+from tillbook.plans.registry import all_queries
 from tillbook.plans.staging import AS_OF, retail_data
 
 SOURCE = "/root/testdata/sf0.001"
-QUERIES = spark_entry.queries()
+QUERIES = all_queries()
 
 
 @pytest.fixture(scope="module")

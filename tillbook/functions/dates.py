@@ -11,10 +11,8 @@ from pyspark.sql import types as T
 SERIAL_DAY_ZERO = "1899-12-30"
 LAST_SERIAL = 2958465
 
-# Day 0 of epoch seconds, and the last second of 9999-12-31.
-LAST_EPOCH_SECOND = 253402300799
-
 _NUMBER = r"^\d{1,12}(\.\d+)?$"
+_SECONDS = r"^-?\d{1,15}(\.\d+)?$"
 _CALENDAR = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2})([ T].*)?$"
 
 
@@ -49,7 +47,10 @@ def normalize_date(value: Column) -> Column:
 
 
 def stored_date(df: DataFrame, name: str) -> Column:
-    """A stored date column as a date: epoch seconds and ISO text are repaired."""
+    """A stored date column as a date: epoch seconds and ISO text are repaired.
+
+    Seconds may be negative (before 1970) and lie as far off as Spark's dates reach.
+    """
     kind = df.schema[name].dataType
     if isinstance(kind, T.DateType):
         return F.col(name)
@@ -59,12 +60,8 @@ def stored_date(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.NumericType):
         seconds = F.floor(F.col(name))
     else:
-        seconds = F.when(text.rlike(_NUMBER), F.floor(text.try_cast("double")))
+        seconds = F.when(text.rlike(_SECONDS), F.floor(text.try_cast("double")))
     epoch_day = F.date_add(
         F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).try_cast("int")
     )
-    return (
-        F.when(seconds.isNotNull() & (seconds <= LAST_EPOCH_SECOND), epoch_day)
-        .when(seconds.isNotNull(), F.lit(None).cast("date"))
-        .otherwise(_calendar_date(text))
-    )
+    return F.when(seconds.isNotNull(), epoch_day).otherwise(_calendar_date(text))

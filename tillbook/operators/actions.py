@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -236,7 +237,17 @@ def _record(
     )
 
 
-def _special_day_record(day: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class DayTexts:
+    """What the card of a special day advises: in a gift season, and else."""
+
+    gift_offers: str = "Prepare gift offers."
+    offers: str = "Prepare offers."
+    gift_extras: str = "Consider discounts, free delivery or gift wrapping."
+    extras: str = "Consider discounts, bundles or extras."
+
+
+def _special_day_record(day: DataFrame, texts: DayTexts) -> DataFrame:
     gift, name = F.col("gift_season"), F.col("name")
     start = F.date_format("starts_on", "dd-MM-yyyy")
     end = F.date_format("ends_on", "dd-MM-yyyy")
@@ -249,18 +260,14 @@ def _special_day_record(day: DataFrame) -> DataFrame:
         title=F.concat(F.when(gift, "Gift promotion for ").otherwise("Promotion for "), name),
         description=F.concat(
             name,
-            F.when(gift, " is near. Prepare gift offers on tablets, phones and smartwatches.").otherwise(
-                " is near. Promote phones, tablets and laptops."
-            ),
+            F.when(gift, f" is near. {texts.gift_offers}").otherwise(f" is near. {texts.offers}"),
         ),
         more_info=F.concat(
             F.lit("Run the offers from "),
             start,
             F.lit(" to "),
             end,
-            F.when(
-                gift, ". Consider discounts, free delivery or gift wrapping."
-            ).otherwise(". Consider discounts, bundles or extras."),
+            F.when(gift, f". {texts.gift_extras}").otherwise(f". {texts.extras}"),
         ),
     )
 
@@ -363,6 +370,7 @@ def action_feed(
     gift_seasons: Iterable[str] = GIFT_SEASONS,
     months: int = RECENT_MONTHS,
     threshold: float = PRODUCER_SHARE_LIMIT,
+    texts: DayTexts = DayTexts(),
 ) -> DataFrame:
     """All actions as one list, ordered by ``(section, tie_key)``.
 
@@ -379,7 +387,7 @@ def action_feed(
     )
     units = materialize(product_units(products, by_product), "product-units")
     actions = (
-        _special_day_record(next_special_day(special_days, as_of, gift_seasons))
+        _special_day_record(next_special_day(special_days, as_of, gift_seasons), texts)
         .unionByName(
             _place_records(_zero_sales_places(by_place, places), _lowest_revenue_place(by_place))
         )

@@ -6,8 +6,9 @@ ways give that answer, chosen per key from its total demand:
 
 * demand fits, or nothing is there to give: every request has the same answer, found
   by a join alone;
-* demand exceeds the quantity: the key's requests are folded in order by one task,
-  streaming, with one number of state;
+* demand exceeds the quantity: running sums grant what comes before the first request
+  that does not fit and refuse what asks for more than was left there; only the rest is
+  folded in order by one task, streaming, with one number of state;
 * demand exceeds it and the key has more than ``fold_limit`` requests: the requests are
   cut into ordered blocks that are summarised and folded side by side (see
   :func:`_grant_in_blocks`), so no task gets the whole key.
@@ -76,6 +77,9 @@ def grant_in_order(
         "demand",
     )
     ways = materialize(_ways(supply, demand, key, fold_limit), "ways")
+    twice = ways.groupBy(key).count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"{key} {twice[key]} is held {twice['count']} times")
 
     # Spark may split the rows of a hot key here: nothing after the join needs them together.
     settled = (
@@ -115,36 +119,72 @@ def grant_in_order(
 
 
 def _fold(df: DataFrame, unit: list[str], opening: str, order: Sequence[str]) -> DataFrame:
-    """Fold every unit of ``df`` in order, from ``opening``; one task per unit.
+    """Judge every unit of ``df`` in order, from ``opening``; adds ``granted``.
+
+    Up to the first request that does not fit, the running sum tells: those before are
+    granted. What is left there only shrinks, so later requests for more are refused.
+    The others are open and folded; for them alone the unit's rows, narrow ones, go
+    through Python in one task.
+    """
+    turns = Window.partitionBy(*unit).orderBy(*order)
+    asked = F.sum("qty").over(turns.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    queue = df.withColumn("turn", F.row_number().over(turns)).withColumn("asked", asked)
+    stop = F.when(
+        F.col("asked") > F.col(opening),
+        F.struct("turn", (F.col(opening) - F.col("asked") + F.col("qty")).alias("left")),
+    )
+    queue = queue.withColumn("stop", F.min(stop).over(Window.partitionBy(*unit)))
+    judged = (
+        F.when(F.col("stop").isNull() | (F.col("turn") < F.col("stop.turn")), True)
+        .when((F.col("turn") == F.col("stop.turn")) | (F.col("qty") > F.col("stop.left")), False)
+    )
+    queue = materialize(
+        queue.withColumn("granted", judged)
+        .withColumn("left", F.when(judged.isNull(), F.col("stop.left")))
+        .drop("asked", "stop"),
+        "queue",
+    )
+    rest = queue.filter(F.col("granted").isNull())
+    folded = _fold_open(rest.select(*unit, "turn", "qty", "left"), unit)
+    settled = queue.filter(F.col("granted").isNotNull())
+    judged_rest = rest.drop("granted").join(folded, [*unit, "turn"])
+    return settled.unionByName(judged_rest).drop("turn", "left")
+
+
+def _fold_open(rows: DataFrame, unit: list[str]) -> DataFrame:
+    """(unit, turn, granted) of open requests, folded by ``turn`` from ``left``.
 
     The window puts each unit's rows in one task in order, and keeps Spark from
     rearranging them at run time; a bare ``repartition`` would not. The function that
     follows in the same task checks that it gets them so.
     """
-    turns = F.row_number().over(Window.partitionBy(*unit).orderBy(*order))
-    queue = df.withColumn("turn", turns)
-    schema = T.StructType(queue.schema.fields + [T.StructField("granted", T.BooleanType())])
+    queue = rows.withColumn(
+        "place", F.row_number().over(Window.partitionBy(*unit).orderBy("turn"))
+    )
+    kept = [*unit, "turn"]
+    schema = T.StructType([rows.schema[name] for name in kept])
+    schema = schema.add("granted", T.BooleanType())
 
     def grant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, last = 0, 0
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("turn", opening, "qty")]
+            columns = [batch.column(name).to_pylist() for name in ("place", "left", "qty")]
             granted = []
-            for turn, start, qty in zip(*columns):
-                if turn == 1:
+            for place, start, qty in zip(*columns):
+                if place == 1:
                     left = start
-                elif turn != last + 1:
-                    raise RuntimeError(f"turn {turn} came after turn {last}")
-                last = turn
+                elif place != last + 1:
+                    raise RuntimeError(f"request {place} came after request {last}")
+                last = place
                 granted.append(qty <= left)
                 if granted[-1]:
                     left -= qty
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(granted, pa.bool_())],
-                names=[*batch.schema.names, "granted"],
+                [*(batch.column(name) for name in kept), pa.array(granted, pa.bool_())],
+                names=[*kept, "granted"],
             )
 
-    return queue.mapInArrow(grant, schema).drop("turn")
+    return queue.mapInArrow(grant, schema)
 
 
 def _level(left: Column) -> Column:

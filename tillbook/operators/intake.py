@@ -40,24 +40,36 @@ def resolve_names(raw: DataFrame, dim: DataFrame, name_col: str, id_col: str) ->
 
     A name that ``dim`` holds twice would multiply rows, so it stops the job.
     """
+    held = F.col(f"{id_col}_held")
+    return (
+        _named(raw, dim, name_col, id_col)
+        .withColumn(id_col, F.when(held > 1, _held_twice(name_col)).otherwise(F.col(id_col)))
+        .drop(f"{id_col}_held")
+    )
+
+
+def _named(raw: DataFrame, dim: DataFrame, name_col: str, id_col: str) -> DataFrame:
+    """Add ``id_col`` by name, and how many rows of ``dim`` hold that name."""
     lookup = (
         dim.filter(F.col(name_col).isNotNull())
         .groupBy(name_col)
-        .agg(
-            F.when(F.count("*") == 1, F.min(id_col))
-            .otherwise(
-                F.raise_error(F.concat(F.lit(f"{name_col} is not unique: "), F.col(name_col)))
-            )
-            .alias(id_col)
-        )
+        .agg(F.min(id_col).alias(id_col), F.count("*").alias(f"{id_col}_held"))
     )
     return raw.join(lookup, name_col, "left")
 
 
+def _held_twice(name_col: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{name_col} is not unique: "), F.col(name_col)))
+
+
 def _read_rows(raw: DataFrame, categories: DataFrame, producers: DataFrame) -> DataFrame:
-    """Raw columns kept as they are, typed values beside them, and a reject reason."""
-    named = resolve_names(raw, categories, "category_name", "category_id")
-    named = resolve_names(named, producers, "producer_name", "producer_id")
+    """Raw columns kept as they are, typed values beside them, and a reject reason.
+
+    Every reader of the reason also looks the names up, so that refused rows cannot be
+    published while a name is held twice.
+    """
+    named = _named(raw, categories, "category_name", "category_id")
+    named = _named(named, producers, "producer_name", "producer_id")
     typed = {
         "buy_price": F.col("buy_price").cast("string").try_cast(MONEY),
         "sell_price": F.col("sell_price").cast("string").try_cast(MONEY),
@@ -68,8 +80,11 @@ def _read_rows(raw: DataFrame, categories: DataFrame, producers: DataFrame) -> D
     def unreadable(name: str) -> Column:
         return ~is_blank(F.col(name)) & F.col(f"typed.{name}").isNull()
 
-    reason = F.when(is_blank(F.col("product_name")), "missing_name").when(
-        unreadable("ordered_on"), "bad_date"
+    reason = (
+        F.when(F.col("category_id_held") > 1, _held_twice("category_name"))
+        .when(F.col("producer_id_held") > 1, _held_twice("producer_name"))
+        .when(is_blank(F.col("product_name")), "missing_name")
+        .when(unreadable("ordered_on"), "bad_date")
     )
     for name in ("buy_price", "sell_price", "stock_qty"):
         reason = reason.when(unreadable(name), f"bad_{name}")

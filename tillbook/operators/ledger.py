@@ -11,7 +11,7 @@ import datetime as dt
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.functions import is_blank, zero_if_null
@@ -25,6 +25,8 @@ class SalesApplied(NamedTuple):
     products: DataFrame
     accepted: DataFrame
     rejected: DataFrame
+    changed_products: DataFrame
+    """Only the product rows that differ: what a store has to write."""
 
 
 class ReturnsApplied(NamedTuple):
@@ -32,6 +34,11 @@ class ReturnsApplied(NamedTuple):
     sales: DataFrame
     accepted: DataFrame
     rejected: DataFrame
+    changed_products: DataFrame
+    changed_sales: DataFrame
+    """Only the sales whose quantity fell, without those that went."""
+    removed_sales: DataFrame
+    """Ids of the sales that a return took to 0."""
 
 
 def apply_sales(
@@ -48,8 +55,10 @@ def apply_sales(
     product are served in ``order``, which must be unique per product. Accepted requests
     come back as sales rows (``sale_id`` is the request id, ``amount`` the current price
     times the quantity), refused ones with the first reason that applies: missing_field,
-    bad_qty, future_date, unknown_product, insufficient_stock. An unknown place is no
-    reason. A product sold out stays, with stock 0.
+    bad_qty, future_date, duplicate_request, unknown_product, insufficient_stock. Of
+    several sound requests with one id the first in order counts. An unknown place is no
+    reason. A product sold out stays, with stock 0. A product id that is asked for and
+    held twice stops the job.
     """
     reason = (
         F.when(
@@ -63,7 +72,7 @@ def apply_sales(
         "product_id", "sell_price", zero_if_null(F.col("stock_qty")).alias("opening")
     )
     judged = grant_in_order(
-        requests.withColumn("reason", reason),
+        _without_repeats(requests.withColumn("reason", reason), order),
         supply,
         "product_id",
         unknown="unknown_product",
@@ -90,7 +99,8 @@ def apply_sales(
         sold_qty=F.col("sold_qty") + F.col("sold"),
     )
     rejected = verdicts.filter(F.col("reason").isNotNull()).select(*requests.columns, "reason")
-    return SalesApplied(updated, accepted, rejected)
+    changed = updated.join(sold.select("product_id"), "product_id", "left_semi")
+    return SalesApplied(updated, accepted, rejected, changed)
 
 
 def apply_returns(
@@ -108,7 +118,9 @@ def apply_returns(
     sale's quantity but not its amount, and removes the sale at quantity 0; it lowers the
     product's sold count, and raises its stock unless the units are defective. Accepted
     requests come back as returns rows, refused ones with the first reason that applies:
-    missing_field, bad_qty, unknown_sale, exceeds_sale.
+    missing_field, bad_qty, duplicate_request, unknown_sale, exceeds_sale. Of several
+    sound requests with one id the first in order counts. A sale id that is asked for and
+    held twice stops the job.
     """
     reason = F.when(
         F.col("qty").isNull() | F.col("defective").isNull() | is_blank(F.col("description")),
@@ -116,7 +128,7 @@ def apply_returns(
     ).when(F.col("qty") < 1, "bad_qty")
     supply = sales.select("sale_id", "product_id", zero_if_null(F.col("qty")).alias("opening"))
     judged = grant_in_order(
-        requests.withColumn("reason", reason),
+        _without_repeats(requests.withColumn("reason", reason), order),
         supply,
         "sale_id",
         unknown="unknown_sale",
@@ -130,7 +142,14 @@ def apply_returns(
     accepted = granted.select(
         F.col("request_id").alias("return_id"), "product_id", "defective", "description"
     )
-    taken = granted.groupBy("sale_id").agg(F.sum("qty").alias("taken"))
+    taken = materialize(
+        granted.groupBy("sale_id").agg(F.sum("qty").alias("taken")), "taken"
+    )
+    touched = (
+        sales.join(taken, "sale_id")
+        .withColumn("qty", F.col("qty") - F.col("taken"))
+        .select(*sales.columns)
+    )
     left = (
         sales.join(taken, "sale_id", "left")
         .withColumn("qty", F.when(F.col("taken").isNull(), F.col("qty")).otherwise(
@@ -150,7 +169,33 @@ def apply_returns(
         sold_qty=F.col("sold_qty") - F.col("returned"),
     )
     rejected = verdicts.filter(F.col("reason").isNotNull()).select(*requests.columns, "reason")
-    return ReturnsApplied(updated, left, accepted, rejected)
+    return ReturnsApplied(
+        updated,
+        left,
+        accepted,
+        rejected,
+        changed_products=updated.join(back.select("product_id"), "product_id", "left_semi"),
+        changed_sales=touched.filter(F.col("qty") != 0),
+        removed_sales=touched.filter(F.col("qty") == 0).select("sale_id"),
+    )
+
+
+def _without_repeats(requests: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Refuse sound requests whose id an earlier sound one has; rows of NULL id stand alone."""
+    sound = F.col("reason").isNull()
+    ids = requests.filter(sound).groupBy("request_id").count().filter("count > 1")
+    ids = materialize(ids.select("request_id"), "repeated-requests")
+    if ids.isEmpty():
+        return requests
+    several = requests.filter(sound).join(ids, "request_id", "left_semi")
+    turn = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
+    several = several.withColumn(
+        "reason", F.when(turn > 1, "duplicate_request")
+    ).select(*requests.columns)
+    others = requests.join(
+        ids.withColumn("repeated", F.lit(True)), "request_id", "left"
+    ).filter(F.col("repeated").isNull() | ~sound)
+    return others.select(*requests.columns).unionByName(several)
 
 
 def _with_moves(products: DataFrame, moves: DataFrame, **moved: Column) -> DataFrame:

@@ -1,8 +1,9 @@
 """Sales reports.
 
-Sales are reduced to one row per product (or place, or product and period) before
-anything is joined to them: the shuffle then carries partial sums, and a product or
-place that holds a large share of all sales costs no more than any other.
+Sales are reduced to one row per product or place before anything is joined to them:
+the shuffle then carries partial sums, and a product or place that holds a large share
+of all sales costs no more than any other. Margin by period is the exception: products
+and periods together are nearly as many as sales, so it joins first and sums by period.
 """
 
 from __future__ import annotations
@@ -29,15 +30,12 @@ def margin_by_period(sales: DataFrame, products: DataFrame, period: str) -> Data
     Sales without a date form a period of their own; a period whose quantities are
     all NULL has margin 0.
     """
-    units = sales.groupBy("product_id", period_start(F.col("sold_on"), period).alias("period")).agg(
-        F.sum("qty").alias("qty")
-    )
     unit_margin = products.select(
         "product_id", (F.col("sell_price") - F.col("buy_price")).alias("unit_margin")
     )
     return (
-        units.join(unit_margin, "product_id")
-        .groupBy("period")
+        sales.join(unit_margin, "product_id")
+        .groupBy(period_start(F.col("sold_on"), period).alias("period"))
         .agg(zero_if_null(F.sum(F.col("unit_margin") * F.col("qty"))).alias("total_margin"))
     )
 

@@ -61,7 +61,9 @@ _TABLES = {
     "sales": "select sale_id, sold_on, amount, product_id, place, qty from sales_lines",
     "returned_goods": """
         select md5('r' || sale_id) as return_id, product_id,
-          case when line <> 7 then tax >= 0.04 end as defective, 'returned' as description
+          case when line <> 7 then tax >= 0.04 end as defective,
+          case line when 1 then 'said "no",' || chr(10) || 'and left' when 2 then '  blanks around '
+            when 3 then '' when 4 then null else 'returned' end as description
         from sales_lines where return_flag = 'R'""",
     "special_days": """
         select o_orderkey as id,
@@ -76,14 +78,14 @@ _TABLES = {
           cast(r_regionkey * 20.0 as double) as lng from region
         union all select 'OCEANIA', -22.0, 140.0""",
     "raw_products": """
-        select case when p_size not in (23, 29) then p_name end as product_name,
+        select case p_size when 29 then null when 23 then '' else p_name end as product_name,
           case when p_size = 17 then 'UNKNOWN' else p_type end as category_name,
           case when p_size = 19 then '-5' when p_size = 20 then 'n/a'
             when p_brand = 'Brand#3' then '10.5' else '700' end as buy_price,
           '900' as sell_price, split_part(p_name, ' ', 1) as color,
           case when p_size = 14 then 'NOBODY' else p_brand end as producer_name,
           'NEW-' || cast(p_partkey as varchar) as sku,
-          'a "new" part, ' || p_type as description,
+          '  a "new" part,' || chr(10) || p_type || ' ' as description,
           case when p_size = 11 then '-1' when p_size = 12 then '1.5'
             else cast(p_size as varchar) end as stock_qty,
           case when p_size <= 10 then cast(p_size * 10 + 36526 as varchar)
@@ -198,14 +200,23 @@ _TABLES = {
     "sale_requests": """
         select sale_id as request_id, product_id, date_diff('day', date '1970-01-01', ship_day) as seq,
           case when units = 4 and line = 4 then -1 else qty end as qty, place, sold_on
-        from sales_lines""",
+        from sales_lines
+        union all
+        select sale_id, product_id, date_diff('day', date '1970-01-01', ship_day) + 1, qty, place,
+          sold_on
+        from sales_lines
+        where qty = 5 and date_diff('day', date '1970-01-01', ship_day) % 5 = 0""",
     "sale_checks": """
         select r.*, p.sell_price, coalesce(p.stock_qty // 10, 0) as opening,
-          case when qty is null or place is null or sold_on is null then 'missing_field'
-            when qty < 1 then 'bad_qty'
-            when sold_on > date '2001-07-31' then 'future_date'
+          case when fault is not null then fault
+            when row_number() over (partition by request_id, fault order by seq) > 1
+              then 'duplicate_request'
             when p.product_id is null then 'unknown_product' end as reason
-        from sale_requests r left join products p on r.product_id = p.product_id""",
+        from (select *, case
+            when qty is null or place is null or sold_on is null then 'missing_field'
+            when qty < 1 then 'bad_qty'
+            when sold_on > date '2001-07-31' then 'future_date' end as fault
+          from sale_requests) r left join products p on r.product_id = p.product_id""",
     "sale_queue": """
         select *, row_number() over (partition by product_id order by seq, request_id) as turn
         from sale_checks where reason is null""",
@@ -219,7 +230,7 @@ _TABLES = {
         from sale_turns t join sale_queue q
           on q.product_id = t.product_id and q.turn = t.turn + 1""",
     "sale_verdicts": """
-        select c.* exclude (reason),
+        select c.* exclude (reason, fault),
           coalesce(reason, case when not granted then 'insufficient_stock' end) as reason
         from sale_checks c left join sale_turns t on c.request_id = t.request_id""",
     "return_requests": """
@@ -234,14 +245,25 @@ _TABLES = {
         union all
         select md5(sale_id || '2'), sale_id, 2, cast(line + 1 as bigint),
           case when units <> 9 then tax >= 0.02 end, 'again'
-        from sales_lines where return_flag = 'R' and status = 'O'""",
+        from sales_lines where return_flag = 'R' and status = 'O'
+        union all
+        select md5(sale_id || '1'),
+          case when units = 6 and line = 6 then 'x' || sale_id else sale_id end, 3, 5,
+          tax >= 0.04, case when units = 8 then '' else 'returned' end
+        from sales_lines where return_flag = 'R'
+          and case when units = 7 and line = 7 then null when line = 1 then units + 1
+            when line = 2 then units else line + 1 end = 5""",
     "return_checks": """
         select r.*, s.product_id, coalesce(s.qty, 0) as opening,
-          case when r.qty is null or defective is null or coalesce(description, '') = ''
-              then 'missing_field'
-            when r.qty < 1 then 'bad_qty'
+          case when fault is not null then fault
+            when row_number() over (partition by request_id, fault order by seq) > 1
+              then 'duplicate_request'
             when s.sale_id is null then 'unknown_sale' end as reason
-        from return_requests r left join sales s on r.sale_id = s.sale_id""",
+        from (select *, case
+            when qty is null or defective is null or coalesce(description, '') = ''
+              then 'missing_field'
+            when qty < 1 then 'bad_qty' end as fault
+          from return_requests) r left join sales s on r.sale_id = s.sale_id""",
     "return_queue": """
         select *, row_number() over (partition by sale_id order by seq, request_id) as turn
         from return_checks where reason is null""",
@@ -254,7 +276,7 @@ _TABLES = {
           t.remaining - case when q.qty <= t.remaining then q.qty else 0 end
         from return_turns t join return_queue q on q.sale_id = t.sale_id and q.turn = t.turn + 1""",
     "return_verdicts": """
-        select c.* exclude (reason),
+        select c.* exclude (reason, fault),
           coalesce(reason, case when not granted then 'exceeds_sale' end) as reason
         from return_checks c left join return_turns t on c.request_id = t.request_id""",
     "new_products": """
@@ -271,7 +293,7 @@ _TABLES = {
         from new_products""",
     "first_changes": """
         select case when size = 50 then -1 - product_id else product_id end as product_id,
-          cast(1 as bigint) as seq,
+          case when size <> 45 then cast(1 as bigint) end as seq,
           case when size = 41 then '' else product_name || ' II' end as product_name,
           category_id, buy_price, cast(sell_price + 1 as decimal(18,2)) as sell_price, color,
           producer_id, case when size <> 42 then sku end as sku, description,
@@ -281,15 +303,21 @@ _TABLES = {
         select * exclude (p_brand) from first_changes
         union all
         select * exclude (p_brand) replace (cast(2 as bigint) as seq, 'repainted' as color)
-        from first_changes where p_brand = 'Brand#1'""",
+        from first_changes where p_brand = 'Brand#1'
+        union all
+        select * exclude (p_brand) replace ('undecided' as color)
+        from first_changes where p_brand = 'Brand#2'""",
     "change_checks": """
-        select c.*, case when c.product_name = '' then 'missing_product_name'
-          when c.category_id is null then 'missing_category_id'
-          when c.producer_id is null then 'missing_producer_id'
-          when coalesce(c.sku, '') = '' then 'missing_sku'
-          when c.ordered_on is null then 'missing_ordered_on'
+        select c.* exclude (fault), case when fault is not null then fault
+          when count(*) over (partition by c.product_id, seq, fault) > 1 then 'tied_seq'
           when p.product_id is null then 'unknown_product' end as reason
-        from changes c left join products p on c.product_id = p.product_id""",
+        from (select *, case when product_name = '' then 'missing_product_name'
+            when category_id is null then 'missing_category_id'
+            when producer_id is null then 'missing_producer_id'
+            when coalesce(sku, '') = '' then 'missing_sku'
+            when ordered_on is null then 'missing_ordered_on'
+            when seq is null then 'missing_seq' end as fault
+          from changes) c left join products p on c.product_id = p.product_id""",
     "last_changes": """
         select * from change_checks where reason is null
         qualify row_number() over (partition by product_id order by seq desc) = 1""",
@@ -326,8 +354,8 @@ _ACTION_FEED = """
         case when gift_season then 'Gift promotion for ' else 'Promotion for ' end || name
           as title,
         name || case when gift_season
-          then ' is near. Prepare gift offers on tablets, phones and smartwatches.'
-          else ' is near. Promote phones, tablets and laptops.' end as description,
+          then ' is near. Prepare gift offers.'
+          else ' is near. Prepare offers.' end as description,
         'Run the offers from ' || strftime(starts_on, '%d-%m-%Y') || ' to '
           || strftime(ends_on, '%d-%m-%Y') || case when gift_season
           then '. Consider discounts, free delivery or gift wrapping.'
@@ -387,6 +415,11 @@ _QUERIES = {
       select null, product_name, category_id, buy_price, sell_price, color, producer_id, sku,
         description, stock_qty, 0, 0, ordered_on
       from accepted_rows""",
+    "import_ids": """
+      select count(*) as ids, count(*) as distinct_ids,
+        (select max(product_id) from products) + 1 as least,
+        (select max(product_id) from products) + count(*) as highest
+      from accepted_rows""",
     "import_dates": "select sku, ordered_on from accepted_rows",
     "intake_violations": "select row_key, rule from violations where rule is not null",
     "intake_violation_counts": """
@@ -399,6 +432,15 @@ _QUERIES = {
       from products""",
     "product_details": _DETAILS.format(how="inner"),
     "product_details_left": _DETAILS.format(how="left"),
+    "product_details_ids": _DETAILS.format(how="inner") + " where stock_qty = 0",
+    "product_details_text_dates": _DETAILS.format(how="inner").replace(
+        " ordered_on,",
+        """ case product_id % 4
+          when 0 then date '1970-01-01' - cast(product_id as integer)
+          when 1 then date '5000-01-01' + cast(product_id // 86400 as integer)
+          when 2 then date '1970-01-01' + cast(product_id * 1000 // 86400 as integer)
+          else date '2001-05-06' end as ordered_on,""",
+    ),
     "in_stock": """
       select product_id, product_name, cast(sell_price as double) as sell_price, stock_qty,
         color, category_name, producer_name
@@ -448,6 +490,10 @@ _QUERIES = {
       select * replace (cast(buy_price as double) as buy_price,
         cast(sell_price as double) as sell_price, cast(revenue as double) as revenue)
       from category_products""",
+    "category_products_one": """
+      select * replace (cast(buy_price as double) as buy_price,
+        cast(sell_price as double) as sell_price, cast(revenue as double) as revenue)
+      from category_products where category_id = 2""",
     "category_best_worst": """
       select category_id, 'best' as kind, product_id, product_name, units_sold
       from category_products
@@ -494,6 +540,14 @@ _QUERIES = {
       from products p left join (select product_id, cast(sum(qty) as bigint) as sold
         from sale_verdicts where reason is null group by product_id) s
         on p.product_id = s.product_id""",
+    "apply_sales_changed": """
+      select product_id, stock_qty // 10 - sold as stock_qty, sold_qty + sold as sold_qty
+      from products join (select product_id, cast(sum(qty) as bigint) as sold
+        from sale_verdicts where reason is null group by product_id) s using (product_id)""",
+    "apply_sales_blocks_accepted": """
+      select request_id as sale_id, sold_on, cast(sell_price * qty as double) as amount,
+        product_id, place, qty
+      from sale_verdicts where reason is null""",
     "apply_returns_accepted": """
       select request_id as return_id, product_id, defective, description
       from return_verdicts where reason is null""",
@@ -514,6 +568,27 @@ _QUERIES = {
     "apply_returns_rejected": """
       select request_id, sale_id, seq, qty, defective, description, reason
       from return_verdicts where reason is not null""",
+    "apply_returns_changed_sales": """
+      select sale_id, sold_on, cast(amount as double) as amount, product_id, place,
+        qty - taken as qty
+      from sales join (select sale_id, cast(sum(qty) as bigint) as taken
+        from return_verdicts where reason is null group by sale_id) t using (sale_id)
+      where qty <> taken""",
+    "apply_returns_removed_sales": """
+      select sale_id
+      from sales join (select sale_id, cast(sum(qty) as bigint) as taken
+        from return_verdicts where reason is null group by sale_id) t using (sale_id)
+      where qty = taken""",
+    "apply_returns_blocks_rejected": """
+      select request_id, sale_id, seq, qty, defective, description, reason
+      from return_verdicts where reason is not null""",
+    "add_products_ids": """
+      select count(*) as ids, count(*) as distinct_ids, max(top) + 1 as least,
+        max(top) + count(*) as highest
+      from new_checks cross join (select greatest((select max(product_id) from products),
+          (select max(product_id) from sales),
+          (select max(product_id) from returned_goods)) as top) t
+      where reason is null""",
     "add_products": f"""
       select {_PRODUCT_ROW} from products
       union all
@@ -533,6 +608,11 @@ _QUERIES = {
       union all
       select """ + _PRODUCT_ROW + """ from products
       where product_id not in (select product_id from last_changes)""",
+    "update_products_changed": """
+      select product_id, n.product_name, n.category_id, cast(n.buy_price as double) as buy_price,
+        cast(n.sell_price as double) as sell_price, n.color, n.producer_id, n.sku,
+        n.description, n.stock_qty, sold_qty, complaint_qty, n.ordered_on
+      from products p join last_changes n using (product_id)""",
     "update_products_rejected": """
       select * replace (cast(buy_price as double) as buy_price,
         cast(sell_price as double) as sell_price)

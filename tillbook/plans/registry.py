@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tillbook.operators import actions, catalog, compare, intake, ledger, listings, sales
 from tillbook.plans.staging import AS_OF, RetailData, retail_data
 from tillbook.plans.worktables import new_path
-from tillbook.sources import export_table
+from tillbook.sources import export_table, read_export
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,7 @@ def _money_as_double(df: DataFrame) -> DataFrame:
 def _export_roundtrip(d: RetailData, df: DataFrame, fmt: str) -> DataFrame:
     path = new_path(d.spark, "export")
     export_table(df, path, fmt)
-    return d.spark.read.schema(df.schema).option("header", True).format(fmt).load(path)
+    return read_export(d.spark, path, df.schema, fmt)
 
 
 def _import(d: RetailData) -> intake.Intake:
@@ -54,6 +54,16 @@ def _without_new_ids(products: DataFrame, prefix: str) -> DataFrame:
     return products.withColumn("product_id", F.when(~is_new, F.col("product_id")))
 
 
+def _ids(products: DataFrame, prefix: str) -> DataFrame:
+    """How many ids the rows added under ``prefix`` have, and their range."""
+    return products.filter(F.col("sku").startswith(prefix)).agg(
+        F.count("product_id").alias("ids"),
+        F.countDistinct("product_id").alias("distinct_ids"),
+        F.min("product_id").alias("least"),
+        F.max("product_id").alias("highest"),
+    )
+
+
 def _import_appended(d: RetailData) -> DataFrame:
     return _without_new_ids(catalog.append_products(d.products, _import(d).accepted), "NEW-")
 
@@ -82,12 +92,16 @@ def _producer_days(d: RetailData, threshold: float) -> DataFrame:
     return actions.producer_days(d.producers, d.products, d.sales, AS_OF, threshold=threshold)
 
 
-def _apply_sales(d: RetailData) -> ledger.SalesApplied:
-    return ledger.apply_sales(d.ledger_products, d.sale_requests, AS_OF)
+# Sizes at which contested keys of the test tables are folded in blocks.
+IN_BLOCKS = {"fold_limit": 30, "block_rows": 20_000}
+
 
+def _apply_sales(d: RetailData, **sizes: int) -> ledger.SalesApplied:
+    return ledger.apply_sales(d.ledger_products, d.sale_requests, AS_OF, **sizes)
 
-def _apply_returns(d: RetailData) -> ledger.ReturnsApplied:
-    return ledger.apply_returns(d.products, d.sales, d.return_requests)
+
+def _apply_returns(d: RetailData, **sizes: int) -> ledger.ReturnsApplied:
+    return ledger.apply_returns(d.products, d.sales, d.return_requests, **sizes)
 
 
 def _stock(products: DataFrame) -> DataFrame:
@@ -99,8 +113,8 @@ def _action_feed(d: RetailData, places: DataFrame) -> DataFrame:
 
 
 def _added(d: RetailData) -> DataFrame:
-    added = catalog.add_products(d.products, d.new_products).products
-    return _without_new_ids(added, "ADD-")
+    """New products above every id that products, sales or returns know."""
+    return catalog.add_products(d.products, d.new_products, [d.sales, d.returns]).products
 
 
 def _changed(d: RetailData) -> catalog.Change:
@@ -116,6 +130,9 @@ _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     "import_rejected": lambda d: _import(d).rejected,
     "import_unresolved": _import_unresolved,
     "import_appended": _import_appended,
+    "import_ids": lambda d: _ids(
+        catalog.append_products(d.products, _import(d).accepted), "NEW-"
+    ),
     "import_dates": lambda d: _import(d).accepted.select("sku", "ordered_on"),
     "intake_violations": _violations,
     "intake_violation_counts": lambda d: intake.count_violations(_violations(d)),
@@ -126,6 +143,12 @@ _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     "product_details_left": lambda d: listings.product_details(
         d.products, d.categories, d.producers, how="left"
     ),
+    "product_details_ids": lambda d: listings.product_details(
+        d.products, d.categories, d.producers, ids=d.sold_out_ids
+    ),
+    "product_details_text_dates": lambda d: listings.product_details(
+        d.text_date_products, d.categories, d.producers
+    ),
     "in_stock": lambda d: listings.in_stock(d.products, d.categories, d.producers),
     "sales_list": lambda d: listings.sales_list(d.sales, d.products),
     "returns_list": lambda d: listings.returns_list(d.returns, d.products),
@@ -143,6 +166,7 @@ _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     # comparison
     "active_categories": lambda d: compare.active_categories(d.categories, d.products, d.sales),
     "category_products": _category_products,
+    "category_products_one": lambda d: compare.category_products(d.products, d.sales, 2),
     "category_best_worst": lambda d: compare.category_best_worst(_category_products(d)),
     "compare_products": lambda d: compare.compare_products(
         _category_products(d), d.product_pairs
@@ -161,15 +185,22 @@ _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     "apply_sales_accepted": lambda d: _apply_sales(d).accepted,
     "apply_sales_rejected": lambda d: _apply_sales(d).rejected,
     "apply_sales_stock": lambda d: _stock(_apply_sales(d).products),
+    "apply_sales_changed": lambda d: _stock(_apply_sales(d).changed_products),
+    "apply_sales_blocks_accepted": lambda d: _apply_sales(d, **IN_BLOCKS).accepted,
     "apply_returns_accepted": lambda d: _apply_returns(d).accepted,
     "apply_returns_sales": lambda d: _apply_returns(d).sales,
     "apply_returns_stock": lambda d: _stock(_apply_returns(d).products),
     "apply_returns_rejected": lambda d: _apply_returns(d).rejected,
-    "add_products": _added,
+    "apply_returns_changed_sales": lambda d: _apply_returns(d).changed_sales,
+    "apply_returns_removed_sales": lambda d: _apply_returns(d).removed_sales,
+    "apply_returns_blocks_rejected": lambda d: _apply_returns(d, fold_limit=1, block_rows=20_000).rejected,
+    "add_products": lambda d: _without_new_ids(_added(d), "ADD-"),
+    "add_products_ids": lambda d: _ids(_added(d), "ADD-"),
     "add_products_rejected": lambda d: catalog.add_products(
         d.products, d.new_products
     ).rejected,
     "update_products": lambda d: _changed(d).products,
+    "update_products_changed": lambda d: _changed(d).changed,
     "update_products_rejected": lambda d: _changed(d).rejected,
     "delete_products": lambda d: catalog.delete_products(d.products, d.sold_out_ids),
 }

@@ -169,7 +169,11 @@ class RetailData:
                 F.md5(F.concat(F.lit("r"), F.col("sale_id"))).alias("return_id"),
                 "product_id",
                 F.when(F.col("line") != 7, F.col("tax") >= 0.04).alias("defective"),
-                F.lit("returned").alias("description"),
+                F.when(F.col("line") == 1, 'said "no",\nand left')
+                .when(F.col("line") == 2, "  blanks around ")
+                .when(F.col("line") == 3, "")
+                .when(F.col("line") != 4, "returned")
+                .alias("description"),
             ),
         )
 
@@ -218,7 +222,7 @@ class RetailData:
     def raw_products(self) -> DataFrame:
         """Every part as a row of an intake file, some with faults; stored as CSV.
 
-        A CSV reader takes a blank field for NULL, so blank and NULL names read alike.
+        Odd and even parts lie in files of different column order, in one folder.
         """
         size = F.col("p_size")
         rows = self.read("part").select(
@@ -236,7 +240,7 @@ class RetailData:
             F.split_part("p_name", F.lit(" "), F.lit(1)).alias("color"),
             F.when(size == 14, "NOBODY").otherwise(F.col("p_brand")).alias("producer_name"),
             F.concat(F.lit("NEW-"), F.col("p_partkey").cast("string")).alias("sku"),
-            F.concat(F.lit('a "new" part, '), F.col("p_type")).alias("description"),
+            F.concat(F.lit('  a "new" part,\n'), F.col("p_type"), F.lit(" ")).alias("description"),
             F.when(size == 11, "-1")
             .when(size == 12, "1.5")
             .otherwise(size.cast("string"))
@@ -249,10 +253,14 @@ class RetailData:
             .otherwise("2001-05-06 10:00:00")
             .alias("ordered_on"),
             F.lit("x").alias("a_column_nobody_reads"),
+            (F.col("p_partkey") % 2 == 0).alias("even"),
         )
         path = f"{self.folder}/raw_products"
-        export_table(rows, path, "csv")
-        return read_raw_products(self.spark, path)
+        export_table(rows.filter("even").drop("even"), path, "csv")
+        other = f"{self.folder}/raw_products_other"
+        turned = [c for c in reversed(rows.columns) if c != "even"]
+        export_table(rows.filter("not even").select(*turned), other, "csv")
+        return read_raw_products(self.spark, f"{self.folder}/raw_products*")
 
     @property
     def ledger_products(self) -> DataFrame:
@@ -261,7 +269,7 @@ class RetailData:
 
     @cached_property
     def sale_requests(self) -> DataFrame:
-        """Every sale line as a request; served by day, then id."""
+        """Every sale line as a request, some of them twice; served by day, then id."""
         units, line = F.col("units"), F.col("line")
         requests = self.sales_lines.select(
             F.col("sale_id").alias("request_id"),
@@ -271,11 +279,15 @@ class RetailData:
             "place",
             "sold_on",
         )
-        return self._work("sale_requests", requests.select(*SALE_REQUESTS.fieldNames()))
+        repeats = requests.filter((F.col("qty") == 5) & (F.col("seq") % 5 == 0)).withColumn(
+            "seq", F.col("seq") + 1
+        )
+        requests = requests.unionByName(repeats).select(*SALE_REQUESTS.fieldNames())
+        return self._work("sale_requests", requests)
 
     @cached_property
     def return_requests(self) -> DataFrame:
-        """A request for every returned line, and a second one for open lines."""
+        """A request for every returned line, some of them twice, and one more for open lines."""
         units, line = F.col("units"), F.col("line")
         returned = self.sales_lines.filter(F.col("return_flag") == "R")
         first = returned.select(
@@ -300,18 +312,21 @@ class RetailData:
             F.when(units != 9, F.col("tax") >= 0.02).alias("defective"),
             F.lit("again").alias("description"),
         )
-        requests = first.unionByName(second).select(*RETURN_REQUESTS.fieldNames())
+        repeats = first.filter(F.col("qty") == 5).withColumn("seq", F.lit(3).cast("bigint"))
+        requests = first.unionByName(second).unionByName(repeats)
+        requests = requests.select(*RETURN_REQUESTS.fieldNames())
         return self._work("return_requests", requests)
 
     @cached_property
     def product_changes(self) -> DataFrame:
-        """A change for every part, some faulty, and a later second one for one brand."""
+        """A change for every part, some faulty; a later second one for one brand, and one
+        of the same ``seq`` for another."""
         size = F.col("p_size")
         first = self._parts().select(
             F.when(size == 50, -1 - F.col("product_id"))
             .otherwise(F.col("product_id"))
             .alias("product_id"),
-            F.lit(1).cast("bigint").alias("seq"),
+            F.when(size != 45, F.lit(1).cast("bigint")).alias("seq"),
             F.when(size == 41, "")
             .otherwise(F.concat(F.col("product_name"), F.lit(" II")))
             .alias("product_name"),
@@ -331,7 +346,9 @@ class RetailData:
             .withColumn("seq", F.lit(2).cast("bigint"))
             .withColumn("color", F.lit("repainted"))
         )
-        return self._work("product_changes", first.unionByName(second).drop("p_brand"))
+        tied = first.filter(F.col("p_brand") == "Brand#2").withColumn("color", F.lit("undecided"))
+        changes = first.unionByName(second).unionByName(tied)
+        return self._work("product_changes", changes.drop("p_brand"))
 
     @cached_property
     def new_products(self) -> DataFrame:
@@ -362,6 +379,18 @@ class RetailData:
             (F.col("product_id") + 1).alias("product_2"),
         )
 
+    @property
+    def text_date_products(self) -> DataFrame:
+        """Products with the order date as text: seconds before 1970 and far off, ISO text."""
+        number, way = F.col("product_id"), F.col("product_id") % 4
+        return self.products.withColumn(
+            "ordered_on",
+            F.when(way == 0, (-number * 86400 + 1).cast("string"))
+            .when(way == 1, (number + 95617584000).cast("string"))
+            .when(way == 2, (number * 1000).cast("string"))
+            .otherwise("2001/5/6"),
+        )
+
     @property
     def sold_out_ids(self) -> DataFrame:
         """Ids to delete: products with nothing in stock, each twice."""

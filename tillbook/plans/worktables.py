@@ -10,6 +10,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +33,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tillbook/{spark.sparkContext.applicationId}"
 
 
+#: Folders of the contexts that are open, the innermost last.
+_SCOPES: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = _SCOPES[-1] if _SCOPES else work_folder(spark)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
@@ -41,3 +48,25 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[None]:
+    """Work tables written inside are removed at the end; write results before that."""
+    folder = f"{work_folder(spark)}/scope-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(folder)
+        _remove(spark, folder)
+
+
+def drop_work_tables(spark: SparkSession) -> None:
+    """Remove all work tables of this application."""
+    _remove(spark, work_folder(spark))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,13 @@
 """Table schemas, readers and writers."""
 
-from tillbook.sources.exports import export_table
+from tillbook.sources.exports import export_table, read_export
 from tillbook.sources.tables import Tables, load_table, load_tables, read_raw_products
 
-__all__ = ["Tables", "export_table", "load_table", "load_tables", "read_raw_products"]
+__all__ = [
+    "Tables",
+    "export_table",
+    "load_table",
+    "load_tables",
+    "read_export",
+    "read_raw_products",
+]
