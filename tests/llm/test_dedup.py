@@ -1,0 +1,164 @@
+"""Exact and near duplicates against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from samples import awkward, documents, sentences, with_clashes
+
+from tillbook.llm import exact_dedup, superminhash
+from tillbook.llm.components import connected_components
+
+
+def collapsed(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def test_exact_groups_and_digests(spark):
+    rows = exact_dedup.deduplicate(with_clashes(awkward(spark))).collect()
+    assert len(rows) == 10
+    of = {}
+    for r in rows:
+        of.setdefault(r.doc_id, []).append(r)
+    assert sorted(r.kept for r in of[1]) == [False, True]  # a repeated row stays once
+    assert of[2][0].keep_id == 1 and of[2][0].group_size == 4 and not of[2][0].kept
+    assert {r.keep_id for r in of[None]} == {1, 3}  # null and empty texts are equal
+    assert of[3][0].group_size == 3 and of[4][0].keep_id == 3
+    assert of[5][0].kept and of[5][0].digest == hashlib.sha256(b" ").hexdigest()
+
+
+def test_exact_on_random_copies(spark):
+    rng = random.Random(4)
+    texts = sentences(1, 30)
+    rows = [(i, rng.choice(texts).replace(" ", rng.choice([" ", "  ", "\n"]))) for i in range(300)]
+    found = exact_dedup.deduplicate(documents(spark, *rows))
+    first = {}
+    for i, t in rows:
+        first.setdefault(collapsed(t), i)
+    assert {r.doc_id: r.keep_id for r in found.collect()} == {i: first[collapsed(t)] for i, t in rows}
+    kept = exact_dedup.without_copies(with_clashes(documents(spark, *rows)))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+
+
+def test_exact_tells_colliding_digests_apart(spark):
+    rows = [(i, f"text {i % 7}") for i in range(60)]
+    weak = lambda text: F.substring(F.sha2(text, 256), 1, 0)  # noqa: E731  all collide
+    found = exact_dedup.deduplicate(documents(spark, *rows), digest=weak).collect()
+    assert {r.doc_id: r.keep_id for r in found} == {i: i % 7 for i, _ in rows}
+    assert {r.doc_id: r.group_size for r in found} == {
+        i: sum(k % 7 == i % 7 for k, _ in rows) for i, _ in rows
+    }
+
+
+def test_exact_state_goes_on(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    own = exact_dedup.stream_session(spark)
+    schema = "doc_id long, at struct<file: string, row: long>, digest string"
+    for batch in ([(5, ("f", 0), "x"), (7, ("f", 1), "y")], [(3, ("g", 0), "x")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        exact_dedup.keepers(own.readStream.schema(schema).parquet(source), folder)
+    found = {r.digest: (r.keep.doc_id, r.n) for r in exact_dedup.latest(spark, folder).collect()}
+    assert found == {"x": (3, 2), "y": (7, 1)}
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(140)]
+    edges += [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(400, 500)] + [(9, 9)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert {r.node: r.component for r in found} == {x: find(x) for x in linked}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    if len(words) < 5:
+        return frozenset([tuple(words)]) if words else frozenset()
+    return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+
+
+def near_classes(rows):
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("most_blocks", [16, 0])
+def test_near_duplicates(spark, monkeypatch, most_blocks):
+    monkeypatch.setattr(superminhash, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(superminhash, "MOST_BLOCKS", most_blocks)
+    rng, rows = random.Random(8), []
+    for base in sentences(3, 12, words=60):
+        for _ in range(20):
+            words = base.split()
+            for _ in range(rng.randrange(5)):
+                words[rng.randrange(len(words))] = "changed"
+            rows.append((len(rows), " ".join(words).upper() if rng.random() < 0.2 else " ".join(words)))
+    rows += [(1000 + k, t) for k, t in enumerate(["", None, "a b", "A  b", "a b c"])]
+    found = superminhash.near_duplicates(documents(spark, *rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_classes(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_near_awkward(spark):
+    found = superminhash.near_duplicates(with_clashes(awkward(spark))).collect()
+    assert len(found) == 10
+    assert all(r.kept and r.component_id is None for r in found if r.doc_id is None)
+    assert {r.component_id for r in found if r.doc_id in (1, 2)} == {1}
+    assert all(r.kept and r.n_shingles == 0 for r in found if r.doc_id in (3, 4, 5))
+    kept = superminhash.without_near_copies(awkward(spark)).collect()
+    assert sum(r.doc_id is None for r in kept) == 2 and not any(r.doc_id == 2 for r in kept)
+
+
+def test_signature_is_a_superminhash():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 7, 300, 5000)]
+    signed = superminhash.signatures(sets)
+    assert np.isinf(signed[0]).all()
+    # one element: its ranks are a permutation of the places, each with a fraction
+    assert sorted(np.floor(signed[1])) == list(range(superminhash.PLACES))
+    # a union takes the smaller value in every place; order and company do not matter
+    joined = superminhash.signatures([np.unique(np.concatenate(sets[2:4]))])[0]
+    assert (joined == np.minimum(signed[2], signed[3])).all()
+    assert (superminhash.signatures(sets[4:])[0] == signed[4]).all()
+
+
+def test_agreement_estimates_similarity():
+    rng = np.random.default_rng(5)
+    same, one, two = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (600, 200, 200))
+    a, b = superminhash.signatures([np.unique(np.concatenate((same, x))) for x in (one, two)])
+    assert abs((a == b).mean() - 0.6) < 0.2
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.deduplicate, superminhash.near_duplicates])
+def test_empty_table(spark, operator):
+    assert operator(documents(spark)).collect() == []

@@ -1,0 +1,170 @@
+"""Personal data, main text and token counts against plain ways to the same answer."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from samples import awkward, documents, with_clashes
+from tokenizers import Tokenizer
+
+from tillbook.llm import anchor_pii, block_text, edit_counts
+from tillbook.llm.encoding import encoder
+
+# The base rules as the patterns that define them.
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def digits(text):
+    return re.sub(r"[^0-9]", "", text)
+
+
+VALID = {
+    "email": lambda s: True,
+    "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+    "card": lambda s: 13 <= len(digits(s)) <= 19 and anchor_pii.luhn(digits(s)),
+    "phone": lambda s: 9 <= len(digits(s)) <= 15,
+}
+ANCHORS = anchor_pii.automaton()
+
+
+def base_spans(text):
+    return [
+        [(m.start(), m.end()) for m in re.finditer(PATTERNS[k], text) if VALID[k](m[0])]
+        for k in anchor_pii.BASE
+    ]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("0123456789.. -@+()ab:é\n", max_size=60))
+def test_base_spans_are_those_of_the_patterns(text):
+    assert anchor_pii.spans(text, ANCHORS)[:4] == base_spans(text)
+
+
+def test_known_items():
+    text = (
+        "mail a.b@c.org, call +1 (212) 555-0199, card 4111 1111 1111 1111, host 10.0.0.1, "
+        "see https://x.example/a?b=1, IBAN: GB82 WEST 1234 5698 7654 32, password=abc123def, "
+        "at 12 Old Mill Road"
+    )
+    found = dict(zip(anchor_pii.KINDS, anchor_pii.spans(text, ANCHORS), strict=True))
+    assert {k: [text[a:b] for a, b in v] for k, v in found.items()} == {
+        "email": ["a.b@c.org"],
+        "phone": ["+1 (212) 555-0199"],
+        "card": ["4111 1111 1111 1111"],
+        "ip": ["10.0.0.1"],
+        "url": ["https://x.example/a?b=1"],
+        "account": ["GB82 WEST 1234 5698 7654 32", "abc123def"],
+        "address": ["12 Old Mill Road"],
+    }
+    assert anchor_pii.redact("x a@b.co y", ANCHORS) == "x [email] y"
+    assert anchor_pii.spans("1." + "0" * 5000 + ".1.1", ANCHORS)[1] == [(0, 5006)]
+
+
+def test_personal_data_of_awkward_rows(spark):
+    found = anchor_pii.find_personal_data(with_clashes(awkward(spark))).collect()
+    assert len(found) == 10
+    assert {r.base_sha256 for r in found} == {hashlib.sha256(b"").hexdigest()}
+    row = anchor_pii.find_personal_data(documents(spark, (1, "é a@b.co"))).first()
+    assert (row.n_email, row.spans) == (1, "email:2:8")
+    assert row.base_sha256 == hashlib.sha256(b"email:2:8").hexdigest()
+    assert anchor_pii.find_personal_data(documents(spark)).collect() == []
+
+
+PROSE = "The house of the man is in the town and it was for the people that he built it."
+PAGE = f"""<!DOCTYPE html><html><head><title>Title</title><style>p{{}}</style></head><body>
+<header class="site"><a href="/">Home</a></header><nav><ul><li><a href=a>Menu</a></ul></nav>
+<div id="cookie-notice">We use the cookies of the site and it is for you that we do that.</div>
+<article><header><h1>Caf&eacute; &amp;\n  more</h1></header><p>{PROSE}<p><b>Short.<br>Next
+<div class="ad">{PROSE}</div><aside>{PROSE}</aside><p><a href=x>Read the other story of the man</a>
+<ul><li>First point</li><li>Second &lt;point&gt;</li></ul><script>var x = "<p>no</p>";</script>
+<form><p>{PROSE}</p></form><!-- <p>hidden</p> --><section class="comments"><p>{PROSE}</p></section>
+</article><footer>{PROSE}</footer></body></html>"""
+
+
+def test_main_text():
+    assert block_text.main_blocks(PAGE) == [
+        "Café & more", PROSE, "Short. Next", "First point", "Second <point>"
+    ]
+
+
+def test_main_text_without_article():
+    page = f"<div><p>{PROSE}</p><p>Yes.</p><p>{PROSE}</p></div><div><a href=x>Link</a></div>"
+    assert block_text.main_blocks(page) == [PROSE, "Yes.", PROSE]
+
+
+@pytest.mark.parametrize("page", ["", "<", "<p", "</", "<!--", "<script>", "<a href='", "a < b", "<p>&#xZ;"])
+def test_broken_pages_do_not_crash(page):
+    assert isinstance(block_text.main_blocks(page), list)
+
+
+def test_pages_table(spark):
+    schema = "page_id long, url string, html string, text string"
+    rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, None), (2, None, None, ""), (None, "v", "", "")]
+    found = block_text.extract(spark.createDataFrame(rows, schema)).collect()
+    assert [r.page_id for r in found] == [1, 1, 2, None]
+    assert found[0].n_chars == len(found[0].text) > 90 and found[2].text == "" == found[3].text
+    assert block_text.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+ENCODE = encoder().encode_ordinary
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(" \n\ta's1é.\xa0日", max_size=80))
+def test_ids_are_those_of_the_vocabularys_tokenizer(text):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    assert ENCODE(text) == own.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("size", [8, 64])
+def test_counts_follow_edits(monkeypatch, size):
+    monkeypatch.setattr(edit_counts, "SEGMENT_CHARS", size)
+    monkeypatch.setattr(edit_counts.borders, "__defaults__", (size,))
+    rng, letters = random.Random(9), " \n\ta'sl1é.\xa0 日   "
+    make = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(200):
+        text = make(rng.randrange(250))
+        chars, tokens = edit_counts.SegmentTree(text, ENCODE).leaves()
+        tree = edit_counts.SegmentTree(text, ENCODE, chars, tokens)
+        for _ in range(8):
+            at, removed, put = rng.randrange(len(text) + 2), rng.choice([0, 1, 3, 30]), make(rng.choice([0, 1, 9, 60]))
+            text = text[:at] + put + text[at + removed :]
+            tree.edit(at, removed, put)
+            assert tree.text() == text
+            assert tree.total == len(ENCODE(text))
+
+
+def test_edits_touch_little():
+    tree = edit_counts.SegmentTree("some words of a text " * 5000, ENCODE)
+    tree.edit(50_000, 5, "other")
+    assert tree.reencoded < 3 * edit_counts.SEGMENT_CHARS
+
+
+def test_recount(spark):
+    from pyspark.sql import functions as F
+
+    edits = F.array(F.struct(F.lit(1).alias("at"), F.lit(2).alias("removed"), F.lit(" x").alias("inserted")))
+    docs = awkward(spark)
+    made = edit_counts.recount(with_clashes(docs).drop("tokens"), edits).collect()
+    for row, was in zip(made, docs.collect(), strict=True):
+        text = was.text or ""
+        assert row.n_tokens == len(ENCODE(text))
+        assert row.n_tokens_edited == len(ENCODE(text[:1] + " x" + text[3:]))
+    kept = docs.filter("doc_id > 2").join(edit_counts.trees(docs), "doc_id")
+    again = edit_counts.recount(kept, edits).collect()
+    assert {(r.doc_id, r.n_tokens_edited) for r in again} == {
+        (r.doc_id, r.n_tokens_edited) for r in made if (r.doc_id or 0) > 2
+    }
+    assert edit_counts.recount(documents(spark), edits).collect() == []

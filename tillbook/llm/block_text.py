@@ -154,25 +154,36 @@ def main_blocks(page: str) -> list[str]:
     has_section = any(b.section and not b.outside for b in found)
     labels = [_decided(b, has_section) for b in found]
     settled = list(labels)
+    votes = [_votes(found, labels, i) for i in range(len(found))]
     for i, block in enumerate(found):
         if labels[i] is None:
-            settled[i] = _inherited(found, labels, i, default=bool(block.section))
+            settled[i] = _inherited(found, votes, i, default=bool(block.section))
     return [b.text for b, good in zip(found, settled, strict=True) if good]
 
 
-def _inherited(found: list[Block], labels: list[bool | None], i: int, default: bool) -> bool:
-    """Label of the nearest decided block of the same section; article text wins a tie.
+def _votes(found: list[Block], labels: list[bool | None], i: int) -> bool | None:
+    """The label that block ``i`` can hand on.
 
-    Adverts, menus and the like inside a section say nothing about their neighbours.
+    In a section, adverts, menus and the like say nothing about their neighbours, and
+    links do only as a list of several.
     """
+    block = found[i]
+    if not block.section or labels[i] is not False:
+        return labels[i]
+    beside = [k for k in (i - 1, i + 1) if 0 <= k < len(found)]
+    several = any(labels[k] is False and not found[k].outside for k in beside)
+    return False if several and not block.outside else None
+
+
+def _inherited(found: list[Block], votes: list[bool | None], i: int, default: bool) -> bool:
+    """Label of the nearest decided block of the same section; article text wins a tie."""
     for step in range(1, len(found)):
         near = [
-            labels[k]
+            votes[k]
             for k in (i - step, i + step)
             if 0 <= k < len(found)
-            and labels[k] is not None
+            and votes[k] is not None
             and found[k].section == found[i].section
-            and not (found[k].section and found[k].outside)
         ]
         if near:
             return any(near)
