@@ -32,6 +32,7 @@ STREETS = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "Square", "
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_RUN = re.compile(r"[0-9]++")
 _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -57,7 +58,9 @@ def _email(text: str, at: int, _: int, free: int) -> tuple[int, int, bool] | Non
 
 def _ip(text: str, at: int, _: int, free: int) -> tuple[int, int, bool] | None:
     m = _IP.match(text, at)
-    return m and (at, m.end(), all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m[0].split(".")))
+    if not m:  # nor does a match start at a later digit of the run
+        return at, _RUN.match(text, at).end(), False
+    return at, m.end(), all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m[0].split("."))
 
 
 def luhn(digits: str) -> bool:
