@@ -103,7 +103,8 @@ def deduplicate(docs: DataFrame, digest=sha256) -> DataFrame:
     own = stream_session(spark)
     folder = new_path(spark, "dedup")
     keepers(own.readStream.schema(prints.schema).parquet(_folder_of(prints)), folder)
-    state = latest(spark, folder)
+    # written, so that Spark may split the rows of a hot digest in the join
+    state = materialize(latest(spark, folder), "kept")
     rows = materialize(prints.join(state, "digest"), "rows")
     differ = materialize(_differing(docs, at, text, rows), "differ")
     if not differ.isEmpty():
