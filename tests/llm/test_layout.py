@@ -185,7 +185,8 @@ def brute_links(rows, least=0.9):
 @pytest.mark.parametrize("block", [16, 2048])
 def test_vector_cells(spark, monkeypatch, block):
     monkeypatch.setattr(spherical_cells, "VECTORS_PER_CELL", 40)
-    monkeypatch.setattr(spherical_cells, "BLOCK", block)
+    monkeypatch.setattr(spherical_cells, "BLOCK_VALUES", 12 * block)
+    monkeypatch.setattr(spherical_cells, "PRODUCT_VALUES", 7 * block)
     rng, rows = np.random.default_rng(4), []
     for spread in (0.0, 0.2, 0.35, 0.45, 0.6):
         for _ in range(12):

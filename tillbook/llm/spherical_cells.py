@@ -3,8 +3,8 @@
 Centroids are fitted on a bounded sample. Each vector is at home in the nearest cell and
 visits every cell whose border it is so close to that a partner may live beyond: two unit
 vectors with cosine c are at most sqrt(2 - 2c) apart, so at least one of a linked pair
-lies within half of that of the border between their cells. Every pair with a member at
-home in a cell is compared there, which finds all links.
+lies within half of that of the border between their cells. The vectors at home in a cell
+are compared with all that are in it, which finds all links.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.components import connected_components
@@ -22,9 +23,10 @@ from tillbook.plans.worktables import materialize
 LEAST_COSINE = 0.9
 #: Vectors the centroids are fitted on at most; all are assigned and compared.
 SAMPLE_ROWS = 20_000
-VECTORS_PER_CELL, MOST_CELLS, ROUNDS = 2_000, 1_024, 8
-#: Vectors on one side of a block product.
-BLOCK = 2_048
+VECTORS_PER_CELL, MOST_CELLS, ROUNDS = 2_000, 64, 8
+#: Numbers in the vectors on one side of a block product, and in the part held at a time.
+BLOCK_VALUES, PRODUCT_VALUES = 1 << 22, 1 << 22
+
 
 
 def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
@@ -81,85 +83,129 @@ def _assign(known, least: float):
                     pa.array(dims.astype(np.int32)),
                     pa.array(home),
                     pa.array(inside, pa.list_(pa.int32())),
-                    pa.array(units, pa.list_(pa.float64())),
+                    pa.array([_packed(v) for v in batch.column(2)], pa.binary()),
                 ],
-                names=["rep", "copies", "dim", "home", "inside", "unit"],
+                names=["rep", "copies", "dim", "home", "inside", "packed"],
             )
 
     return run
 
 
-def linked(left: dict, right: dict | None, cell: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a block pair: per row of left then right, copies linked and smallest row reached.
+def _packed(vector: pa.Scalar) -> bytes:
+    """The bytes of the vector's numbers, of four bytes each if none loses by it."""
+    wide = vector.values.to_numpy(zero_copy_only=False)
+    with np.errstate(over="ignore"):
+        narrow = wide.astype(np.float32)
+    return (narrow if (narrow == wide).all() else wide).tobytes()
+
+
+def _unpacked(packed: list[bytes], dim: int) -> np.ndarray:
+    """The vectors as rows of length 1."""
+    rows = np.empty((len(packed), dim))
+    for k, v in enumerate(packed):
+        rows[k] = np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+
+
+class Trees:
+    """Union-find over the rows at home in a block."""
+
+    def __init__(self, size: int):
+        self.up = np.arange(size)
+
+    def root(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = k = self.up[self.up[k]]
+        return int(k)
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+    def roots(self) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up
+
+
+def _near(homes: np.ndarray, guests: np.ndarray, rough: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``guests``, row of ``homes``) with a cosine of at least ``least``.
+
+    Products of four-byte numbers leave out what is surely below; doubles decide the rest.
+    """
+    slack = 1e-5 + 2e-7 * homes.shape[1]
+    close = guests.astype(np.float32) @ rough.T >= least - slack
+    if close.mean() > 0.05:
+        return np.nonzero(guests @ homes.T >= least)
+    g, h = np.nonzero(close)
+    sure = np.einsum("ij,ij->i", guests[g], homes[h]) >= least
+    return g[sure], h[sure]
+
+
+def linked(home: dict, guest: dict, cell: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``home`` and ``guest`` that have links: rep, copies linked, a row joined with it.
 
-    A pair that meets in the home cells of both counts in the smaller one. ``right`` None
-    compares ``left`` with itself.
+    A link counts for the row at home here. It counts for the guest as well unless the two
+    also meet with the guest at home: in this cell, or in the guest's, which the other
+    visits. The rows named as joined hold together what links of this block connect.
     """
-    other = right or left
-    near = left["unit"] @ other["unit"].T >= least
-    a, b = left["home"], other["home"]
-    near &= (a == cell)[:, None] | (b == cell)[None, :]
-    # x at home here and y a visitor from a smaller cell that x visits: counted there
-    there = np.zeros(near.shape, bool)
-    for h in np.unique(b[b < cell]):
-        there |= ((a == cell) & left["inside"][:, h])[:, None] & (b == h)[None, :]
-    for h in np.unique(a[a < cell]):
-        there |= (a == h)[:, None] & ((b == cell) & other["inside"][:, h])[None, :]
-    near &= ~there
-    if right is None:
-        np.fill_diagonal(near, False)
-        ids, copies, matrix = left["rep"], left["copies"], near
-    else:
-        ids = np.concatenate((left["rep"], right["rep"]))
-        copies = np.concatenate((left["copies"], right["copies"]))
-        n = len(a)
-        matrix = np.zeros((len(ids), len(ids)), bool)
-        matrix[:n, n:], matrix[n:, :n] = near, near.T
-    rows, cols = np.nonzero(matrix)
-    links = np.bincount(rows, weights=copies[cols], minlength=len(ids)).astype(np.int64)
-    reached = ids.copy()
-    if len(rows):
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(rows)) + 1))
-        of = rows[starts]
-        while True:  # smallest id over links, then over what that one reached
-            low = np.minimum(reached[of], np.minimum.reduceat(reached[cols], starts))
-            if (low == reached[of]).all():
-                break
-            reached[of] = low
-    return links, reached
-
-
-def _compare(least: float):
+    n, m = len(home["rep"]), len(guest["rep"])
+    trees, anchor = Trees(n), np.full(m, -1)
+    links, for_guest = np.zeros(n), np.zeros(m)
+    rough = home["unit"].astype(np.float32)
+    step = max(1, PRODUCT_VALUES // n)
+    for start in range(0, m, step):
+        g, h = _near(home["unit"], guest["unit"][start : start + step], rough, least)
+        g += start
+        other = guest["rep"][g] != home["rep"][h]
+        g, h = g[other], h[other]
+        if not len(g):
+            continue
+        np.add.at(links, h, guest["copies"][g])
+        at = guest["home"][g]
+        here_alone = (at != cell) & ~home["inside"][h, at]
+        np.add.at(for_guest, g[here_alone], home["copies"][h[here_alone]])
+        for pair in np.unique(g * n + trees.roots()[h]):
+            of, tree = divmod(int(pair), n)
+            if anchor[of] >= 0:
+                trees.join(int(anchor[of]), tree)
+            anchor[of] = tree
+    roots = trees.roots()
+    of_home = np.flatnonzero(links > 0)
+    of_guest = np.flatnonzero(anchor >= 0)
+    return (
+        np.concatenate((home["rep"][of_home], guest["rep"][of_guest])),
+        np.concatenate((links[of_home], for_guest[of_guest])).astype(np.int64),
+        home["rep"][np.concatenate((roots[of_home], roots[anchor[of_guest]]))],
+    )
+
+
+def _compare(least: float, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a block pair arrive together, maybe over several batches."""
         held, key = [], None
 
-        def done() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            own = rows.column("own").to_numpy()
-            inside = rows.column("inside").to_pylist()
-            width = 1 + max(max(x) for x in inside)
-            among = np.zeros((len(inside), width), bool)
-            for i, x in enumerate(inside):
-                among[i, x] = True
-            units = rows.column("unit").combine_chunks()
-            everything = {
+        def side(rows: pa.Table, dim: int) -> dict:
+            among = np.zeros((rows.num_rows, cells), bool)
+            for k, of in enumerate(rows.column("inside").to_pylist()):
+                among[k, of or []] = True
+            return {
                 "rep": rows.column("rep").to_numpy(),
                 "copies": rows.column("copies").to_numpy(),
                 "home": rows.column("home").to_numpy(),
                 "inside": among,
-                "unit": units.values.to_numpy().reshape(len(inside), -1),
+                "unit": _unpacked(rows.column("packed").to_pylist(), dim),
             }
-            dim, cell, i, j = key
-            sides = [
-                {k: v[own == s] for k, v in everything.items()} for s in ((i,) if i == j else (i, j))
-            ]
-            links, low = linked(sides[0], sides[1] if i != j else None, cell, least)
-            ids = np.concatenate([s["rep"] for s in sides])
-            some = links > 0
+
+        def done() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            guests = rows.column("guest").combine_chunks()
+            home, guest = rows.filter(pc.invert(guests)), rows.filter(guests)
+            dim, cell = key[0], key[1]
+            found = linked(side(home, dim), side(guest, dim), cell, least) if home.num_rows else ([], [], [])
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array(links[some]), pa.array(low[some])],
-                names=["rep", "links", "low"],
+                [pa.array(x, pa.int64()) for x in found], names=["rep", "links", "low"]
             )
 
         for batch in batches:
@@ -218,30 +264,42 @@ def near_duplicates(
     assigned = materialize(
         classes.select("rep", "copies", "v").mapInArrow(
             _assign(known, least),
-            "rep long, copies long, dim int, home int, inside array<int>, unit array<double>",
+            "rep long, copies long, dim int, home int, inside array<int>, packed binary",
         ),
         "assigned",
     )
-    sizes = (
-        assigned.select("dim", F.explode("inside").alias("cell"))
-        .groupBy("dim", "cell")
-        .agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    )
-    own = F.pmod(F.xxhash64("rep", F.lit(6)), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")),
+    rows_per_block = F.greatest(F.lit(BLOCK_VALUES) / F.col("dim"), F.lit(1))
+    blocks = F.ceil(F.count("*") / F.first(rows_per_block)).cast("int")
+    homes = assigned.groupBy("dim", F.col("home").alias("cell")).agg(blocks.alias("home_blocks"))
+    present = assigned.withColumn("cell", F.explode("inside")).groupBy("dim", "cell")
+    sizes = homes.join(present.agg(blocks.alias("guest_blocks")), ["dim", "cell"])
+
+    def dealt_to(number: int, over: str) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(number)), F.col(over)).cast("int")
+
+    def each(over: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(over) - 1))
+
+    kept = ["dim", "cell", "i", "j", "guest", "rep", "copies", "home", "inside", "packed"]
+    at_home = (
+        assigned.withColumns({"cell": F.col("home"), "guest": F.lit(False)})
+        .join(sizes, ["dim", "cell"])
+        .withColumn("i", dealt_to(6, "home_blocks"))
+        .withColumn("j", each("guest_blocks"))
     )
-    blocked = (
-        assigned.withColumn("cell", F.explode("inside"))
+    as_guest = (
+        assigned.withColumns({"cell": F.explode("inside"), "guest": F.lit(True)})
         .join(sizes, ["dim", "cell"])
-        .select("rep", "copies", "dim", "cell", "home", "inside", "unit", own.alias("own"), F.explode(pairs).alias("p"))
-        .select("dim", "cell", "p.i", "p.j", "own", "rep", "copies", "home", "inside", "unit")
+        .withColumn("inside", F.lit(None).cast("array<int>"))
+        .withColumn("j", dealt_to(7, "guest_blocks"))
+        .withColumn("i", each("home_blocks"))
     )
     found = materialize(
-        blocked.repartition("dim", "cell", "i", "j")
+        at_home.select(kept)
+        .unionByName(as_guest.select(kept))
+        .repartition("dim", "cell", "i", "j")
         .sortWithinPartitions("dim", "cell", "i", "j")
-        .mapInArrow(_compare(least), "rep long, links long, low long"),
+        .mapInArrow(_compare(least, cells), "rep long, links long, low long"),
         "found",
     )
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
