@@ -103,6 +103,21 @@ def test_main_text_without_article():
     assert block_text.main_blocks(page) == [PROSE, "Yes.", PROSE]
 
 
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ('<div class="article-header"><h1>Title</h1></div><p>{0}</p>', ["Title", PROSE]),
+        ('<div class="article-banner"><h1>Title</h1></div><p>{0}</p>', ["Title", PROSE]),
+        ('<div class="elementor-widget-container"><p>{0}</p><p>Yes.</p></div>', [PROSE, "Yes."]),
+        ('<div class="x-social-wrap"><p>{0}</p><p>Yes.</p></div>', [PROSE, "Yes."]),
+        ('<p>{0}</p><div class="share-buttons">Share this</div><p>{0}</p>', [PROSE, PROSE]),
+        ('<p>{0}</p><p class="ad">{0}</p><p class="share">Share</p><p>Yes.</p>', [PROSE, "Yes."]),
+    ],
+)
+def test_marks_inside_an_article(inner, kept):
+    assert block_text.main_blocks("<article>" + inner.format(PROSE) + "</article>") == kept
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</", "<!--", "<script>", "<a href='", "a < b", "<p>&#xZ;"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(block_text.main_blocks(page), list)

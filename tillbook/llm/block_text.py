@@ -46,6 +46,13 @@ MARKS = frozenset(
     sidebar signup social sponsor sponsored subscribe toolbar widget complementary
     contentinfo""".split()
 )
+#: Marks that, as a whole class, id or role, also rule out prose: it is not the author's.
+ALIEN = frozenset(
+    """ad ads advert adverts advertisement comment comments consent cookie cookies disqus gdpr
+    newsletter popup promo promoted sponsor sponsored""".split()
+)
+#: Marks that say nothing inside a section, where titles and builders have them.
+NEUTRAL = frozenset("header widget".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -64,6 +71,23 @@ class Block:
     section: int  # 0 outside articles
     outside: bool  # in an element that never holds article text
     heading: bool
+    mark: int = 0  # the marked element of a section that holds it, 0 without
+
+
+def _named(attributes: str) -> str:
+    return " ".join(x.strip("\"'") for x in _NAMED.findall(attributes)).lower()
+
+
+def _marked(name: str, attributes: str, section: int) -> tuple[bool, bool]:
+    """Whether an element rules its text out, and whether it only speaks against it."""
+    named = _named(attributes)
+    if not named or name in ("html", "body", *SECTIONS):
+        return False, False
+    marks = MARKS & {*re.split(r"[\s_-]+", named)}
+    if not section:
+        return bool(marks), False
+    alien = bool(ALIEN & {*named.split()})
+    return alien, bool(marks - NEUTRAL) and not alien
 
 
 def blocks(page: str) -> list[Block]:
@@ -71,15 +95,17 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, outside, section
-    sections, in_link, heading, at = 0, False, False, 0
+    stack: list[tuple[str, bool, int, int]] = []  # name, outside, section, mark
+    sections, marks, in_link, heading, title, at = 0, 0, False, False, False, 0
+    para = (False, 0)  # outside and mark of the open <p>
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             links = len(" ".join(html.unescape("".join(linked)).split()))
-            _, outside, section = stack[-1] if stack else ("", False, 0)
-            found.append(Block(text, links, section, outside, heading))
+            _, outside, section, mark = stack[-1] if stack else ("", False, 0, 0)
+            mark = 0 if title else para[1] or mark
+            found.append(Block(text, links, section, outside or para[0], heading, mark))
         parts.clear()
         linked.clear()
 
@@ -112,23 +138,29 @@ def blocks(page: str) -> list[Block]:
         else:
             close()
             heading = not ends and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            title, para = not ends and name == "h1", (False, 0)
             if ends:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
                         break
                 in_link = False
-            elif name not in VOID and name != "p":
-                _, outside, section = stack[-1] if stack else ("", False, 0)
+            elif name not in VOID:
+                _, outside, section, mark = stack[-1] if stack else ("", False, 0, 0)
                 if name in SECTIONS and not outside and not section:
                     sections += 1
                     section = sections
                 if name in OUTSIDE or name == "header" and not section:
                     outside = True
-                named = " ".join(x.strip("\"'") for x in _NAMED.findall(attributes)).lower()
-                if named and name not in ("html", "body", *SECTIONS) and MARKS & {*re.split(r"[\s_-]+", named)}:
-                    outside = True
-                stack.append((name, outside, section))
+                alien, marked = _marked(name, attributes, section)
+                outside = outside or alien
+                if marked:
+                    marks += 1
+                    mark = marks
+                if name == "p":
+                    para = (outside, mark)
+                    continue
+                stack.append((name, outside, section, mark))
     close()
     return found
 
@@ -157,7 +189,7 @@ def main_blocks(page: str) -> list[str]:
     votes = [_votes(found, labels, i) for i in range(len(found))]
     for i, block in enumerate(found):
         if labels[i] is None:
-            settled[i] = _inherited(found, votes, i, default=bool(block.section))
+            settled[i] = _inherited(found, votes, i, default=bool(block.section and not block.mark))
     return [b.text for b, good in zip(found, settled, strict=True) if good]
 
 
@@ -165,18 +197,21 @@ def _votes(found: list[Block], labels: list[bool | None], i: int) -> bool | None
     """The label that block ``i`` can hand on.
 
     In a section, adverts, menus and the like say nothing about their neighbours, and
-    links do only as a list of several.
+    links do only as a list of several. Marked elements say nothing about what is around.
     """
     block = found[i]
     if not block.section or labels[i] is not False:
         return labels[i]
     beside = [k for k in (i - 1, i + 1) if 0 <= k < len(found)]
     several = any(labels[k] is False and not found[k].outside for k in beside)
-    return False if several and not block.outside else None
+    return False if several and not block.outside and not block.mark else None
 
 
 def _inherited(found: list[Block], votes: list[bool | None], i: int, default: bool) -> bool:
-    """Label of the nearest decided block of the same section; article text wins a tie."""
+    """Label of the nearest decided block of the same section; article text wins a tie.
+
+    A block in a marked element hears only those of the same element.
+    """
     for step in range(1, len(found)):
         near = [
             votes[k]
@@ -184,6 +219,7 @@ def _inherited(found: list[Block], votes: list[bool | None], i: int, default: bo
             if 0 <= k < len(found)
             and votes[k] is not None
             and found[k].section == found[i].section
+            and found[i].mark in (0, found[k].mark)
         ]
         if near:
             return any(near)
