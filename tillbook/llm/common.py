@@ -77,6 +77,57 @@ def with_positions(
     )
 
 
+def numbered(
+    df: DataFrame,
+    group: list[str],
+    order: list[Column],
+    out: str,
+    upto: int | None = None,
+    rows_per_part: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Number the rows of each ``group`` from 1 in ``order``; ``group`` may be empty.
+
+    Rows are range-partitioned by group and order and written, so that a group of any size
+    lies in consecutive parts of bounded size. Rows are ranked within a part, and what
+    earlier parts hold of a group is added where it goes on: at most once a part, which
+    bounds the table that is broadcast. Beyond ``upto`` the number is null, and parts that
+    begin beyond it are not sorted. Groups must not be null.
+    """
+    spark = df.sparkSession
+    df = materialize(df, "unnumbered")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-df.count() // rows_per_part))
+    placed = materialize(
+        df.repartitionByRange(parts, *[F.col(g) for g in group], *order).withColumn(
+            "_part", F.spark_partition_id()
+        ),
+        "parts",
+    )
+    before = (
+        Window.partitionBy(*group)
+        .orderBy("_part")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = (
+        placed.groupBy(*group, "_part")
+        .count()
+        .withColumn("_start", F.sum("count").over(before))
+        .filter("_start is not null")
+        .drop("count")
+    )
+    moved = placed.join(F.broadcast(starts), [*group, "_part"], "left").withColumn(
+        "_start", F.coalesce("_start", F.lit(0))
+    )
+    rank = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    if upto is None:
+        return moved.withColumn(out, (F.col("_start") + rank).cast("long")).drop("_part", "_start")
+    number = (F.col("_start") + rank).cast("long")
+    early = moved.filter(F.col("_start") < upto).withColumn("_nth", number)
+    early = early.withColumn(out, F.when(F.col("_nth") <= upto, F.col("_nth"))).drop("_nth")
+    late = moved.filter(F.col("_start") >= upto).withColumn(out, F.lit(None).cast("long"))
+    return early.unionByName(late).drop("_part", "_start")
+
+
 def quality_domains(labels: DataFrame) -> DataFrame:
     """(doc_id, domain): high or low, as the quality label is 1 or 0; other rows are left out."""
     domain = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
