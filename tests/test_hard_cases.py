@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 import rows as make
 from pyspark.sql import functions as F
 
 from tillbook.functions.dates import stored_date
-from tillbook.operators import catalog, intake, ledger, sales
+from tillbook.operators import catalog, grants, intake, ledger, sales
 from tillbook.plans.staging import retail_data
 from tillbook.plans.worktables import drop_work_tables, materialize, work_folder, work_tables
 from tillbook.sources import export_table, read_export, read_raw_products, schemas
@@ -142,18 +144,65 @@ def test_margin_shuffles_periods_alone_when_products_are_broadcast(spark):
     assert text.count("Exchange hashpartitioning") == 1 and "hashpartitioning(product_id" not in text
 
 
-def test_only_open_requests_reach_python(spark):
-    """5 in stock: 4 fits, 2 does not and leaves 1; of the later ones only those of 1 are open."""
-    goods = make.products(spark, {"stock_qty": 5})
-    asked = [("a", 4), ("b", 2), ("c", 3), ("d", 1), ("e", 1)]
-    requests = make.sale_requests(
-        spark, *[{"request_id": i, "seq": k, "qty": q} for k, (i, q) in enumerate(asked)]
-    )
-    result = ledger.apply_sales(goods, requests, AS_OF)
-    assert sorted(r.sale_id for r in result.accepted.collect()) == ["a", "d"]
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    queues = [f.getPath() for f in fs.listStatus(fs_path) if f.getPath().getName().startswith("queue-")]
-    newest = max(queues, key=lambda p: fs.getFileStatus(p).getModificationTime())
-    queue = spark.read.parquet(newest.toString())
-    assert sorted(r.request_id for r in queue.filter("granted is null").collect()) == ["d", "e"]
+def test_equal_places_in_order_have_one_winner(spark):
+    """Two sound requests of one id and seq: the smaller quantity comes first."""
+    asked = make.sale_requests(
+        spark,
+        {"request_id": "a", "seq": 1, "qty": 7}, {"request_id": "a", "seq": 1, "qty": 4},
+        {"request_id": "b", "seq": 1, "qty": 6}, {"request_id": "c", "seq": 1, "qty": 1},
+        {"request_id": "c", "seq": 1, "qty": 1}, {"request_id": None, "seq": 0, "qty": 1},
+    )
+    for requests in (asked, asked.repartition(5), asked.orderBy(F.desc("qty")).coalesce(1)):
+        result = ledger.apply_sales(make.products(spark, {"stock_qty": 10}), requests, AS_OF)
+        assert make.sorted_rows(result.accepted, "sale_id", "qty") == [("a", 4), ("b", 6)]
+        assert sorted((str(r.request_id), r.qty, r.reason) for r in result.rejected.collect()) == [
+            ("None", 1, "missing_field"), ("a", 7, "duplicate_request"),
+            ("c", 1, "duplicate_request"), ("c", 1, "insufficient_stock"),
+        ]
+
+
+def served_one_by_one(qty, starts, left):
+    left, granted, unit = list(left), [], -1
+    for i, q in enumerate(qty):
+        if unit + 1 < len(starts) and i == starts[unit + 1]:
+            unit += 1
+        granted.append(q <= left[unit])
+        left[unit] -= q * granted[-1]
+    return granted, left
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_level_jumps_match_serving_one_by_one(seed):
+    rng = random.Random(seed)
+    top = rng.choice([3, 50, 10**6, 2**61])
+    for _ in range(60):
+        sizes = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 12))]
+        starts = [sum(sizes[:i]) for i in range(len(sizes))]
+        left = [rng.choice([0, 1, rng.randrange(top), top]) for _ in sizes]
+        qty = [rng.randrange(1, rng.choice([2, 5, top + 1, top * 2])) for _ in range(sum(sizes))]
+        granted, rest = grants.fold(np.array(qty), np.array(starts), np.array(left))
+        assert (granted.tolist(), [int(x) for x in rest]) == served_one_by_one(qty, starts, left)
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_a_unit_may_lie_in_many_arrow_batches(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rng = random.Random(batch)
+        asked = [(rng.choice("aab"), i, f"q{i}", rng.randrange(1, 30)) for i in range(300)]
+        requests = spark.createDataFrame(asked, "product_id string, seq long, request_id string, qty long")
+        supply = spark.createDataFrame([("a", 900), ("b", 55)], "product_id string, opening long")
+        left = {"a": 900, "b": 55}
+        expected = set()
+        for key, _, ident, qty in asked:
+            if qty <= left[key]:
+                left[key] -= qty
+                expected.add(ident)
+        for limit in (1000, 10):
+            judged = grants.grant_in_order(
+                requests.withColumn("reason", F.lit(None).cast("string")), supply, "product_id",
+                "unknown", "too_much", fold_limit=limit, block_rows=40,
+            )
+            assert {r.request_id for r in judged.filter("reason is null").collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -6,9 +6,12 @@ import re
 
 import pytest
 
-from tillbook.operators import actions, compare, listings, sales
+from pyspark.sql import functions as F
+
+from tillbook.operators import actions, compare, grants, listings, sales
 from tillbook.plans.registry import all_queries
 from tillbook.plans.staging import AS_OF, retail_data
+from tillbook.plans.worktables import materialize
 
 SOURCE = "/root/testdata/sf0.001"
 QUERIES = all_queries()
@@ -69,7 +72,6 @@ def test_margin_reads_only_what_it_needs(data):
 
 def test_sales_are_summed_before_they_are_shuffled(data, no_broadcast):
     for report in (
-        sales.margin_by_period(data.sales, data.products, "month"),
         sales.units_by_producer(data.sales, data.products, data.producers),
         compare.category_products(data.products, data.sales),
         actions.reorder_best_seller(data.products, data.sales),
@@ -82,6 +84,31 @@ def test_sales_are_summed_before_they_are_shuffled(data, no_broadcast):
         assert "partial_sum" in above[-1]
 
 
+def test_margin_shuffles_three_columns_of_sales_once(data, no_broadcast):
+    text = plan(sales.margin_by_period(data.sales, data.products, "month"))
+    keys = re.findall(r"Exchange hashpartitioning\((\w+?)#", text)
+    assert sorted(keys) == sorted(["product_id", "product_id", keys[0]]) and keys[0] != "product_id"
+    assert "partial_sum" in text
+    assert {re.sub(r"#\d+L?", "", scan) for scan in scans(text)} == {
+        "sold_on,product_id,qty", "product_id,buy_price,sell_price"
+    }
+
+
+def test_requests_are_not_shuffled_by_their_ids(spark, data):
+    """Ids that may repeat are found by sketches; the rest is judged by product alone."""
+    sound = data.sale_requests.filter("qty > 0").withColumn("reason", F.lit(None).cast("string"))
+    judged = grants.grant_in_order(
+        sound.dropDuplicates(["request_id"]).transform(lambda df: materialize(df, "once")),
+        data.products.select("product_id", F.col("stock_qty").alias("opening")),
+        "product_id",
+        "unknown",
+        "too_much",
+        unique="request_id",
+        repeated="again",
+    )
+    assert not re.search(r"Exchange hashpartitioning\(request_id", plan(judged))
+
+
 def test_stock_filters_reach_the_scan(data):
     text = plan(listings.in_stock(data.products, data.categories, data.producers))
     assert "GreaterThan(stock_qty,0)" in text

@@ -6,12 +6,14 @@ ways give that answer, chosen per key from its total demand:
 
 * demand fits, or nothing is there to give: every request has the same answer, found
   by a join alone;
-* demand exceeds the quantity: running sums grant what comes before the first request
-  that does not fit and refuse what asks for more than was left there; only the rest is
-  folded in order by one task, streaming, with one number of state;
+* demand exceeds the quantity: one task folds the key's requests in order, streaming;
+  a batch of many keys is folded at once by level jumps (see :func:`fold`);
 * demand exceeds it and the key has more than ``fold_limit`` requests: the requests are
   cut into ordered blocks that are summarised and folded side by side (see
-  :func:`_grant_in_blocks`), so no task gets the whole key.
+  :func:`_refused_in_blocks`), so no task gets the whole key.
+
+What is shuffled for that is narrow: key, order and quantity one way, the ids of refused
+requests the other. Only then do the refused ids meet the whole rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ BLOCK_ROWS = 1_000_000
 BROADCAST_KEYS = 100_000
 
 WHOLE, NONE, FOLD, BLOCKS = "whole", "none", "fold", "blocks"
+ROW = "_row"
 
 
 def _ways(supply: DataFrame, demand: DataFrame, key: str, fold_limit: int) -> DataFrame:
@@ -48,6 +52,40 @@ def _ways(supply: DataFrame, demand: DataFrame, key: str, fold_limit: int) -> Da
     return supply.join(demand, key).withColumn("way", way).drop("demand")
 
 
+def _without_repeats(
+    requests: DataFrame, unique: str, order: Sequence[str], repeated: str
+) -> DataFrame:
+    """``requests`` with the reason ``repeated`` where an earlier sound row has the id.
+
+    A first pass counts 64-bit sketches of the ids. Only rows whose sketch comes twice go
+    on and are written; among them the first row of each id is found exactly. Earlier is
+    what comes first by ``order``, then by the other columns; of rows that are equal
+    throughout any one stays.
+    """
+    sound = F.col("reason").isNull()
+    sketches = requests.filter(sound).select(F.xxhash64(unique).alias("sketch"))
+    twice = sketches.groupBy("sketch").count().filter("count > 1")
+    doubtful = materialize(
+        requests.filter(sound)
+        .withColumn("sketch", F.xxhash64(unique))
+        .join(twice, "sketch", "left_semi")
+        .select(*requests.columns, F.monotonically_increasing_id().alias(ROW)),
+        "repeated-requests",
+    )
+    if doubtful.isEmpty():
+        return requests
+    rest = [c for c in requests.columns if c not in (*order, unique)]
+    first = doubtful.groupBy(unique).agg(F.min(F.struct(*order, *rest, ROW))[ROW].alias("first"))
+    again = F.when(F.col(ROW) != F.col("first"), repeated).cast("string")
+    judged = materialize(
+        doubtful.join(first, unique).withColumn("reason", again).select(*requests.columns),
+        "judged-repeats",
+    )
+    ids = judged.filter(sound).select(unique, F.lit(True).alias("_doubtful"))
+    others = requests.join(ids, unique, "left").filter(F.col("_doubtful").isNull() | ~sound)
+    return others.select(*requests.columns).unionByName(judged)
+
+
 def grant_in_order(
     requests: DataFrame,
     supply: DataFrame,
@@ -57,17 +95,26 @@ def grant_in_order(
     order: Sequence[str] = ("seq", "request_id"),
     fold_limit: int = FOLD_LIMIT,
     block_rows: int = BLOCK_ROWS,
+    unique: str | None = None,
+    repeated: str | None = None,
 ) -> DataFrame:
     """All requests with the supply columns and a final ``reason``, NULL when granted.
 
-    ``requests`` has ``key``, ``qty``, ``order``, which must be unique within a key, and
-    ``reason``. Requests that come with a reason keep it and take nothing; the others ask
-    for at least 1. They get ``unknown`` when their key has no supply and ``too_much``
-    when their quantity is more than what is left. ``supply`` has one row per key with
-    ``opening`` and any columns to carry along.
+    ``requests`` has ``key``, ``qty``, ``order`` and ``reason``; equal places in ``order``
+    are told apart by the other columns. Requests that come with a reason keep it and take
+    nothing; the others ask for at least 1. They get ``unknown`` when their key has no
+    supply and ``too_much`` when their quantity is more than what is left. With ``unique``
+    the first of several requests that share it is judged, the others get ``repeated``.
+    ``supply`` has one row per key with ``opening`` and any columns to carry along.
     """
-    reason, way = F.col("reason"), F.col("way")
-    sound = requests.filter(reason.isNull())
+    if unique:
+        rows, ident = _without_repeats(requests, unique, order, repeated), unique
+    else:
+        rows = materialize(requests.withColumn(ROW, F.monotonically_increasing_id()), "requests")
+        ident = ROW
+    ties = [] if unique else [c for c in requests.columns if c not in (key, "reason")]
+    order = tuple(dict.fromkeys((*order, *ties, ident)))
+    sound = rows.filter(F.col("reason").isNull()).select(*dict.fromkeys((key, "qty", *order)))
     # Both are written, so that Spark knows their sizes: a small batch is broadcast
     # against a large supply, a large one joined by shuffle.
     demand = materialize(
@@ -81,110 +128,150 @@ def grant_in_order(
     if twice:
         raise ValueError(f"{key} {twice[key]} is held {twice['count']} times")
 
-    # Spark may split the rows of a hot key here: nothing after the join needs them together.
-    settled = (
-        requests.join(ways, key, "left")
-        .filter(reason.isNotNull() | way.isNull() | way.isin(WHOLE, NONE))
-        .withColumn(
-            "reason",
-            F.coalesce(reason, F.when(way.isNull(), unknown).when(way == NONE, too_much)),
-        )
-    )
-    parts = [settled]
-
     hot = demand.filter(F.col("request_count") > fold_limit).select(key)
     hot_keys = hot.count()
     few = hot_keys <= BROADCAST_KEYS
     # A fold brings a key's rows together, so hot keys leave before its shuffle.
     cool = sound.join(F.broadcast(hot) if few else hot, key, "left_anti") if hot_keys else sound
-    refused = F.when(~F.col("granted"), too_much)
-    folded = _fold(cool.join(ways.filter(way == FOLD), key), [key], "opening", order)
-    parts.append(folded.withColumn("reason", refused).drop("granted"))
+    contested = ways.filter(F.col("way") == FOLD).select(key, "opening")
+    refused = [_served(cool.join(contested, key), [key], "opening", order, ident)]
     if hot_keys:
-        large = ways.filter(way == BLOCKS)
+        large = ways.filter(F.col("way") == BLOCKS).select(key, "opening", "request_count")
         size = large.agg(
             F.sum("request_count").alias("rows"), F.max("opening").alias("opening")
         ).first()
         if size["rows"]:
-            granted = _grant_in_blocks(
-                sound.join(F.broadcast(large) if few else large, key),
-                large,
-                key,
-                order,
-                blocks=math.ceil(size["rows"] / block_rows),
-                levels=size["opening"].bit_length(),
+            refused.append(
+                _refused_in_blocks(
+                    sound.join(F.broadcast(large) if few else large, key).drop("request_count"),
+                    large,
+                    key,
+                    order,
+                    ident,
+                    blocks=math.ceil(size["rows"] / block_rows),
+                    levels=size["opening"].bit_length(),
+                )
             )
-            parts.append(granted.withColumn("reason", refused).drop("granted"))
-    return reduce(DataFrame.unionByName, parts).drop("request_count", "way")
+    marks = reduce(DataFrame.unionByName, [r.select(ident) for r in refused])
+    marked = materialize(marks.withColumn("_refused", F.lit(True)), "refused-requests")
+
+    # Spark may split the rows of a hot key here: nothing after the join needs them together.
+    way = F.col("way")
+    refusal = F.when(way.isNull(), unknown).when((way == NONE) | F.col("_refused"), too_much)
+    return (
+        rows.join(marked, ident, "left")
+        .join(ways.drop("request_count"), key, "left")
+        .select(
+            *[c for c in requests.columns if c != "reason"],
+            *[c for c in supply.columns if c != key],
+            F.coalesce("reason", refusal).alias("reason"),
+        )
+    )
 
 
-def _fold(df: DataFrame, unit: list[str], opening: str, order: Sequence[str]) -> DataFrame:
-    """Judge every unit of ``df`` in order, from ``opening``; adds ``granted``.
+def fold(qty: np.ndarray, starts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which requests are granted, and what each unit has left, of units that lie in a row.
 
-    Up to the first request that does not fit, the running sum tells: those before are
-    granted. What is left there only shrinks, so later requests for more are refused.
-    The others are open and folded; for them alone the unit's rows, narrow ones, go
-    through Python in one task.
+    Unit u has the requests from ``starts[u]`` to the next start and ``left[u]`` to give.
+    While that is between ``2**n`` and ``2**(n + 1)``, requests below ``2**n`` are granted,
+    larger ones only if they fit, and the first request that takes it below ``2**n`` is
+    found by a running sum. So a round takes every unit down a level at least, and there
+    are at most as many rounds as the largest quantity has bits.
     """
-    turns = Window.partitionBy(*unit).orderBy(*order)
-    asked = F.sum("qty").over(turns.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    queue = df.withColumn("turn", F.row_number().over(turns)).withColumn("asked", asked)
-    stop = F.when(
-        F.col("asked") > F.col(opening),
-        F.struct("turn", (F.col(opening) - F.col("asked") + F.col("qty")).alias("left")),
-    )
-    queue = queue.withColumn("stop", F.min(stop).over(Window.partitionBy(*unit)))
-    judged = (
-        F.when(F.col("stop").isNull() | (F.col("turn") < F.col("stop.turn")), True)
-        .when((F.col("turn") == F.col("stop.turn")) | (F.col("qty") > F.col("stop.left")), False)
-    )
-    queue = materialize(
-        queue.withColumn("granted", judged)
-        .withColumn("left", F.when(judged.isNull(), F.col("stop.left")))
-        .drop("asked", "stop"),
-        "queue",
-    )
-    rest = queue.filter(F.col("granted").isNull())
-    folded = _fold_open(rest.select(*unit, "turn", "qty", "left"), unit)
-    settled = queue.filter(F.col("granted").isNotNull())
-    judged_rest = rest.drop("granted").join(folded, [*unit, "turn"])
-    return settled.unionByName(judged_rest).drop("turn", "left")
+    n, units = len(qty), len(starts)
+    bits = int(left.max(initial=0)).bit_length() + n.bit_length()
+    kind = np.int64 if bits < 62 else object  # running sums must not overflow
+    qty, left = qty.astype(kind), left.astype(kind)
+    granted = np.zeros(n, bool)
+    at = np.arange(n)  # requests still open
+    unit = np.repeat(np.arange(units), np.diff(np.append(starts, n)))
+    while len(at):
+        has = left[unit] > 0
+        at, unit = at[has], unit[has]
+        if not len(at):
+            break
+        ones = left.copy()
+        for shift in (1, 2, 4, 8, 16, 32):
+            ones |= ones >> shift
+        low = (ones - (ones >> 1))[unit]
+        q, room = qty[at], left[unit]
+        small = q < low
+        total = np.cumsum(np.where(small, q, 0))
+        first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+        before = np.where(first > 0, total[first - 1], 0)
+        size = np.diff(np.append(first, len(at)))
+        taken = total - np.repeat(before, size)
+        falls = np.where(small, room - taken < low, q <= room - taken)
+        places = np.where(falls, np.arange(len(at)), len(at))
+        stop = np.minimum.reduceat(places, first)
+        end = np.minimum(stop, first + size - 1)
+        stops = np.repeat(stop, size)
+        here = np.arange(len(at))
+        granted[at[(here <= stops) & (small | (here == stops))]] = True
+        ended = stop < len(at)
+        large = ended & ~small[end]
+        left[unit[first]] -= taken[end] + np.where(large, q[end], 0)
+        on = here > stops
+        at, unit = at[on], unit[on]
+    return granted, left
 
 
-def _fold_open(rows: DataFrame, unit: list[str]) -> DataFrame:
-    """(unit, turn, granted) of open requests, folded by ``turn`` from ``left``.
+def _in_order(df: DataFrame, unit: list[str], order: Sequence[str], *columns: Column | str) -> DataFrame:
+    """``columns`` of ``df`` with each unit's rows in one task, in order; ``place`` counts from 1.
 
-    The window puts each unit's rows in one task in order, and keeps Spark from
-    rearranging them at run time; a bare ``repartition`` would not. The function that
-    follows in the same task checks that it gets them so.
+    The window keeps Spark from rearranging the rows at run time; a bare ``repartition``
+    would not. The functions that follow in the same task check that they get them so.
     """
-    queue = rows.withColumn(
-        "place", F.row_number().over(Window.partitionBy(*unit).orderBy("turn"))
-    )
-    kept = [*unit, "turn"]
-    schema = T.StructType([rows.schema[name] for name in kept])
-    schema = schema.add("granted", T.BooleanType())
+    place = F.row_number().over(Window.partitionBy(*unit).orderBy(*order)).alias("place")
+    return df.select("*", place).select(*unit, "qty", "place", *columns)
+
+
+def _starts(place: np.ndarray, last: int) -> np.ndarray:
+    """Where units begin in a batch that follows a row of place ``last``."""
+    new = place == 1
+    if (place != np.where(new, 1, np.append(last, place[:-1]) + 1)).any():
+        raise RuntimeError("requests came out of order")
+    return np.flatnonzero(new)
+
+
+def _served(
+    df: DataFrame, unit: list[str], opening: str, order: Sequence[str], refused: str | None = None
+) -> DataFrame:
+    """Each unit of ``df`` served in order from ``opening``.
+
+    The column ``refused`` of refused rows, or without one what a unit has left (``unit``,
+    left).
+    """
+    ident = [refused] if refused else []
+    queue = _in_order(df, unit, order, *ident, F.col(opening).alias("opening"))
+    kept = ident or [*unit, "place"]
 
-    def grant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, last = 0, 0
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, last = 0, 0
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("place", "left", "qty")]
-            granted = []
-            for place, start, qty in zip(*columns):
-                if place == 1:
-                    left = start
-                elif place != last + 1:
-                    raise RuntimeError(f"request {place} came after request {last}")
-                last = place
-                granted.append(qty <= left)
-                if granted[-1]:
-                    left -= qty
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name) for name in kept), pa.array(granted, pa.bool_())],
-                names=[*kept, "granted"],
-            )
+            if not batch.num_rows:
+                continue
+            place = batch.column("place").to_numpy()
+            starts = _starts(place, last)
+            qty, opening = (batch.column(c).to_numpy().astype(np.int64) for c in ("qty", "opening"))
+            left = opening[starts]
+            if place[0] != 1:
+                starts, left = np.append(0, starts), np.append(rest, left)
+            granted, left = fold(qty, starts, left)
+            rest, last = int(left[-1]), int(place[-1])
+            if refused:
+                yield batch.filter(pa.array(~granted)).select(kept)
+            else:
+                ends = batch.take(pa.array(np.append(starts[1:], len(qty)) - 1)).select(kept)
+                columns = [*ends.columns, pa.array([int(x) for x in left], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "left"])
 
-    return queue.mapInArrow(grant, schema)
+    schema = T.StructType([queue.schema[name] for name in kept])
+    if refused:
+        return queue.mapInArrow(serve, schema)
+    # a unit that lies in several batches comes once for each; the last one counts
+    so_far = queue.mapInArrow(serve, schema.add("left", T.LongType()))
+    return so_far.groupBy(*unit).agg(F.max_by("left", "place").alias("left"))
 
 
 def _level(left: Column) -> Column:
@@ -194,34 +281,62 @@ def _level(left: Column) -> Column:
 
 def _summarise(placed: DataFrame, key: str, order: Sequence[str], levels: int) -> DataFrame:
     """Per block and level: the sum of quantities below ``2**level``, and the least
-    quantity left over with which a request of ``2**level`` or more still fits."""
-    running = (
-        Window.partitionBy(key, "block")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    qty = F.col("qty")
-    columns = {}
-    for level in range(levels):
-        low = 1 << level
-        small = F.sum(F.when(qty < low, qty).otherwise(0)).over(running)
-        columns[f"small_{level}"] = small
-        columns[f"fits_{level}"] = F.when(qty.between(low, 2 * low - 1), qty + small)
-    return (
-        placed.select(key, "block", *[c.alias(name) for name, c in columns.items()])
-        .groupBy(key, "block")
-        .agg(
-            F.array(*[F.max(f"small_{i}") for i in range(levels)]).alias("small"),
-            F.array(*[F.min(f"fits_{i}") for i in range(levels)]).alias("fits"),
-        )
+    quantity left over with which a request of ``2**level`` or more still fits.
+
+    Nothing at a level reaches ``2**(level + 1)``, so both are cut off at twice that.
+    """
+    unit = [key, "block"]
+    queue = _in_order(placed, unit, order)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of the block that goes on in the next batch
+        sums, least, last = [0] * levels, [None] * levels, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = batch.column("place").to_numpy()
+            starts = _starts(place, last)
+            goes_on, last = place[0] != 1, int(place[-1])
+            if goes_on:
+                starts = np.append(0, starts)
+            ends = np.append(starts[1:], len(place)) - 1
+            qty = batch.column("qty").to_numpy().astype(np.int64)
+            small, fits = [], []
+            for level in range(levels):
+                low, most = 1 << level, 1 << (level + 2)
+                kind = np.int64 if level + len(qty).bit_length() < 60 else object
+                q = qty.astype(kind)
+                total = np.cumsum(np.where(qty < low, q, 0))
+                before = np.where(starts > 0, total[starts - 1], 0)
+                if goes_on:
+                    before[0] -= sums[level]
+                here = total - np.repeat(before, ends - starts + 1)
+                middle = (qty >= low) & (qty < 2 * low)
+                fit = np.minimum.reduceat(np.where(middle, np.minimum(q + here, most), most), starts)
+                fit = [int(x) if x < most else None for x in fit]
+                if goes_on and least[level] is not None:
+                    fit[0] = least[level] if fit[0] is None else min(fit[0], least[level])
+                small.append([min(int(x), most) for x in here[ends]])
+                fits.append(fit)
+                sums[level], least[level] = small[-1][-1], fit[-1]
+            found = batch.take(pa.array(ends)).select([*unit, "place"])
+            lists = [pa.array(list(zip(*x)), pa.list_(pa.int64())) for x in (small, fits)]
+            yield pa.RecordBatch.from_arrays([*found.columns, *lists], names=[*unit, "place", "small", "fits"])
+
+    schema = T.StructType([queue.schema[name] for name in (*unit, "place")])
+    longs = T.ArrayType(T.LongType())
+    so_far = queue.mapInArrow(summarise, schema.add("small", longs).add("fits", longs))
+    return so_far.groupBy(*unit).agg(
+        F.max_by("small", "place").alias("small"), F.max_by("fits", "place").alias("fits")
     )
 
 
-def _grant_in_blocks(
+def _refused_in_blocks(
     requests: DataFrame,
     large: DataFrame,
     key: str,
     order: Sequence[str],
+    ident: str,
     blocks: int,
     levels: int,
 ) -> DataFrame:
@@ -235,7 +350,7 @@ def _grant_in_blocks(
     With what is left before every block known, all blocks are folded at once.
     """
     placed = materialize(
-        requests.repartitionByRange(blocks, key, *order).withColumn(
+        requests.drop("opening").repartitionByRange(blocks, key, *order).withColumn(
             "block", F.spark_partition_id()
         ),
         "request-blocks",
@@ -274,12 +389,10 @@ def _grant_in_blocks(
         entries.append(reached.select(key, "block", "entry"))
         # Blocks are partitions of the written table: only the stops are read.
         stops = reached.filter(F.col("block") == F.col("stop")).drop("stop")
-        stopped = placed.select(key, "block", *order, "qty").join(stops, [key, "block"])
-        used = F.sum(F.when(F.col("granted"), F.col("qty")).otherwise(0))
+        stopped = placed.join(stops, [key, "block"])
         state = materialize(
-            _fold(stopped, [key, "block"], "entry", order)
-            .groupBy(key, F.col("block").alias("after"))
-            .agg((F.max("entry") - used).alias("left"))
+            _served(stopped, [key, "block"], "entry", order)
+            .select(key, F.col("block").alias("after"), "left")
             .filter(F.col("left") > 0),
             "block-state",
         )
@@ -289,4 +402,4 @@ def _grant_in_blocks(
     opened = placed.join(known, [key, "block"], "left").withColumn(
         "entry", zero_if_null(F.col("entry"))
     )
-    return _fold(opened, [key, "block"], "entry", order).drop("block", "entry")
+    return _served(opened, [key, "block"], "entry", order, ident)

@@ -11,7 +11,7 @@ import datetime as dt
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions import is_blank, zero_if_null
@@ -52,17 +52,20 @@ def apply_sales(
     """Sell from stock, each request all or nothing against the stock then left.
 
     ``requests`` has ``request_id, product_id, seq, qty, place, sold_on``; requests of a
-    product are served in ``order``, which must be unique per product. Accepted requests
-    come back as sales rows (``sale_id`` is the request id, ``amount`` the current price
+    product are served in ``order``, equal places in it by id. Accepted requests come back as sales rows (``sale_id`` is the request id, ``amount`` the current price
     times the quantity), refused ones with the first reason that applies: missing_field,
     bad_qty, future_date, duplicate_request, unknown_product, insufficient_stock. Of
-    several sound requests with one id the first in order counts. An unknown place is no
+    several sound requests with one id the first in order counts, then the one of the
+    smallest other columns. A missing request id is a missing field. An unknown place is no
     reason. A product sold out stays, with stock 0. A product id that is asked for and
     held twice stops the job.
     """
     reason = (
         F.when(
-            F.col("qty").isNull() | is_blank(F.col("place")) | F.col("sold_on").isNull(),
+            F.col("request_id").isNull()
+            | F.col("qty").isNull()
+            | is_blank(F.col("place"))
+            | F.col("sold_on").isNull(),
             "missing_field",
         )
         .when(F.col("qty") < 1, "bad_qty")
@@ -72,7 +75,7 @@ def apply_sales(
         "product_id", "sell_price", zero_if_null(F.col("stock_qty")).alias("opening")
     )
     judged = grant_in_order(
-        _without_repeats(requests.withColumn("reason", reason), order),
+        requests.withColumn("reason", reason),
         supply,
         "product_id",
         unknown="unknown_product",
@@ -80,6 +83,8 @@ def apply_sales(
         order=order,
         fold_limit=fold_limit,
         block_rows=block_rows,
+        unique="request_id",
+        repeated="duplicate_request",
     )
     verdicts = materialize(judged, "verdicts")
     granted = verdicts.filter(F.col("reason").isNull())
@@ -114,21 +119,24 @@ def apply_returns(
     """Take back sold units, each request all or nothing against the units then left.
 
     ``requests`` has ``request_id, sale_id, seq, qty, defective, description``; requests
-    on a sale are served in ``order``, which must be unique per sale. A return lowers the
-    sale's quantity but not its amount, and removes the sale at quantity 0; it lowers the
+    on a sale are served in ``order``, equal places in it by id. A return lowers the sale's quantity but not its amount, and removes the sale at quantity 0; it lowers the
     product's sold count, and raises its stock unless the units are defective. Accepted
     requests come back as returns rows, refused ones with the first reason that applies:
     missing_field, bad_qty, duplicate_request, unknown_sale, exceeds_sale. Of several
-    sound requests with one id the first in order counts. A sale id that is asked for and
+    sound requests with one id the first in order counts, then the one of the smallest
+    other columns. A missing request id is a missing field. A sale id that is asked for and
     held twice stops the job.
     """
     reason = F.when(
-        F.col("qty").isNull() | F.col("defective").isNull() | is_blank(F.col("description")),
+        F.col("request_id").isNull()
+        | F.col("qty").isNull()
+        | F.col("defective").isNull()
+        | is_blank(F.col("description")),
         "missing_field",
     ).when(F.col("qty") < 1, "bad_qty")
     supply = sales.select("sale_id", "product_id", zero_if_null(F.col("qty")).alias("opening"))
     judged = grant_in_order(
-        _without_repeats(requests.withColumn("reason", reason), order),
+        requests.withColumn("reason", reason),
         supply,
         "sale_id",
         unknown="unknown_sale",
@@ -136,6 +144,8 @@ def apply_returns(
         order=order,
         fold_limit=fold_limit,
         block_rows=block_rows,
+        unique="request_id",
+        repeated="duplicate_request",
     )
     verdicts = materialize(judged, "verdicts")
     granted = verdicts.filter(F.col("reason").isNull())
@@ -180,24 +190,6 @@ def apply_returns(
     )
 
 
-def _without_repeats(requests: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Refuse sound requests whose id an earlier sound one has; rows of NULL id stand alone."""
-    sound = F.col("reason").isNull()
-    ids = requests.filter(sound).groupBy("request_id").count().filter("count > 1")
-    ids = materialize(ids.select("request_id"), "repeated-requests")
-    if ids.isEmpty():
-        return requests
-    several = requests.filter(sound).join(ids, "request_id", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
-    several = several.withColumn(
-        "reason", F.when(turn > 1, "duplicate_request")
-    ).select(*requests.columns)
-    others = requests.join(
-        ids.withColumn("repeated", F.lit(True)), "request_id", "left"
-    ).filter(F.col("repeated").isNull() | ~sound)
-    return others.select(*requests.columns).unionByName(several)
-
-
 def _with_moves(products: DataFrame, moves: DataFrame, **moved: Column) -> DataFrame:
     """Products with ``moved`` columns where ``moves`` names them, others unchanged."""
     flagged = moves.withColumn("moved", F.lit(True))

@@ -582,6 +582,15 @@ _QUERIES = {
     "apply_returns_blocks_rejected": """
       select request_id, sale_id, seq, qty, defective, description, reason
       from return_verdicts where reason is not null""",
+    "sales_store_after_returns": """
+      select s.sale_id, sold_on, cast(amount as double) as amount, product_id, place,
+        case when taken is null then qty else qty - taken end as qty
+      from sales s left join (select sale_id, cast(sum(qty) as bigint) as taken
+        from return_verdicts where reason is null group by sale_id) t on s.sale_id = t.sale_id
+      where taken is null or qty <> taken""",
+    "sales_store_lookup": """
+      select sale_id, sold_on, cast(amount as double) as amount, product_id, place, qty
+      from sales where sale_id in (select sale_id from return_requests)""",
     "add_products_ids": """
       select count(*) as ids, count(*) as distinct_ids, max(top) + 1 as least,
         max(top) + count(*) as highest

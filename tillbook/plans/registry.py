@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from tillbook.operators import actions, catalog, compare, intake, ledger, listings, sales
 from tillbook.plans.staging import AS_OF, RetailData, retail_data
 from tillbook.plans.worktables import new_path
-from tillbook.sources import export_table, read_export
+from tillbook.sources import MonthStore, export_table, read_export
+from tillbook.sources.schemas import TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +105,19 @@ def _apply_returns(d: RetailData, **sizes: int) -> ledger.ReturnsApplied:
     return ledger.apply_returns(d.products, d.sales, d.return_requests, **sizes)
 
 
+def _sales_store(d: RetailData) -> MonthStore:
+    """All sales in a store of their own by month."""
+    store = MonthStore(d.spark, new_path(d.spark, "sales-store"), TABLES["sales"], "sale_id", "sold_on")
+    store.create(d.sales)
+    return store
+
+
+def _store_after_returns(d: RetailData) -> DataFrame:
+    store, day = _sales_store(d), _apply_returns(d)
+    store.merge(changed=day.changed_sales, removed=day.removed_sales)
+    return store.read().select(*TABLES["sales"].fieldNames())
+
+
 def _stock(products: DataFrame) -> DataFrame:
     return products.select("product_id", "stock_qty", "sold_qty")
 
@@ -194,6 +208,8 @@ _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     "apply_returns_changed_sales": lambda d: _apply_returns(d).changed_sales,
     "apply_returns_removed_sales": lambda d: _apply_returns(d).removed_sales,
     "apply_returns_blocks_rejected": lambda d: _apply_returns(d, fold_limit=1, block_rows=20_000).rejected,
+    "sales_store_after_returns": _store_after_returns,
+    "sales_store_lookup": lambda d: _sales_store(d).find(d.return_requests).drop("month"),
     "add_products": lambda d: _without_new_ids(_added(d), "ADD-"),
     "add_products_ids": lambda d: _ids(_added(d), "ADD-"),
     "add_products_rejected": lambda d: catalog.add_products(

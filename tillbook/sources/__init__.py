@@ -1,9 +1,11 @@
 """Table schemas, readers and writers."""
 
 from tillbook.sources.exports import export_table, read_export
+from tillbook.sources.store import MonthStore
 from tillbook.sources.tables import Tables, load_table, load_tables, read_raw_products
 
 __all__ = [
+    "MonthStore",
     "Tables",
     "export_table",
     "load_table",
