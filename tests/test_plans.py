@@ -99,7 +99,7 @@ def test_requests_are_not_shuffled_by_their_ids(spark, data):
     sound = data.sale_requests.filter("qty > 0").withColumn("reason", F.lit(None).cast("string"))
     judged = grants.grant_in_order(
         sound.dropDuplicates(["request_id"]).transform(lambda df: materialize(df, "once")),
-        data.products.select("product_id", F.col("stock_qty").alias("opening")),
+        data.products.select("product_id", F.coalesce("stock_qty", F.lit(0)).alias("opening")),
         "product_id",
         "unknown",
         "too_much",
