@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from samples import awkward, documents, sentences, with_clashes
 
 from tillbook.llm import bin_packing, factor_machine, shard_tree, soft_mixing, spherical_cells
-from tillbook.llm.encoding import encoder
+from tillbook.llm.encoding import encode_with
 
 TREE = shard_tree.regular_tree(2, 3, 2)
 
@@ -52,7 +52,7 @@ def test_shards_of_awkward_rows(spark):
 
 
 def check_packing(rows, texts, capacity):
-    encode = encoder().encode_ordinary
+    encode = encode_with()
     bins = {}
     for r in rows:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))

@@ -14,7 +14,7 @@ from samples import awkward, documents, with_clashes
 from tokenizers import Tokenizer
 
 from tillbook.llm import anchor_pii, block_text, edit_counts
-from tillbook.llm.encoding import encoder
+from tillbook.llm.encoding import encode_with
 
 # The base rules as the patterns that define them.
 PATTERNS = {
@@ -132,22 +132,25 @@ def test_pages_table(spark):
     assert block_text.extract(spark.createDataFrame([], schema)).collect() == []
 
 
-ENCODE = encoder().encode_ordinary
+ENCODE = encode_with()
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(" \n\ta's1é.\xa0日", max_size=80))
+@given(st.lists(st.sampled_from([*" \n\ta's1é.\xa0日", "<|endoftext|>", "<|", "|>", "text"]), max_size=60).map("".join))
 def test_ids_are_those_of_the_vocabularys_tokenizer(text):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     assert ENCODE(text) == own.encode(text, add_special_tokens=False).ids
 
 
+def test_the_special_string_is_one_token():
+    assert ENCODE("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("size", [8, 64])
 def test_counts_follow_edits(monkeypatch, size):
     monkeypatch.setattr(edit_counts, "SEGMENT_CHARS", size)
     monkeypatch.setattr(edit_counts.borders, "__defaults__", (size,))
-    rng, letters = random.Random(9), " \n\ta'sl1é.\xa0 日   "
+    rng, letters = random.Random(9), [*" \n\ta'sl1é.\xa0 日   ", "<|endoftext|>", "<|endof", "text|>"]
     make = lambda n: "".join(rng.choice(letters) for _ in range(n))
     for _ in range(200):
         text = make(rng.randrange(250))

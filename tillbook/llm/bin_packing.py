@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.common import with_positions
-from tillbook.llm.encoding import RANKS, encoder
+from tillbook.llm.encoding import RANKS, encode_with
 from tillbook.plans.worktables import materialize
 
 CAPACITY = 1024
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = RANKS, with_id
     """doc_id, piece, start, length, ids_crc32 (and ``ids``) of every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encode_with(path)
         for batch in batches:
             rows, crcs, ids = [], [], []
             for i, text in enumerate(batch.column(1)):

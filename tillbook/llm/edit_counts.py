@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.encoding import RANKS, encoder
+from tillbook.llm.encoding import RANKS, encode_with
 
 #: Characters after which the next border is taken.
 SEGMENT_CHARS = 512
@@ -143,7 +143,7 @@ def trees(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id, chars, tokens: the segments of each document, to be kept and edited later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encode_with(path)
         for batch in batches:
             kept = [SegmentTree(t.as_py() or "", encode).leaves() for t in batch.column(1)]
             ints = pa.list_(pa.int32())
@@ -175,7 +175,7 @@ def recount(rows: DataFrame, edits: Column, path: str = RANKS) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encode_with(path)
         for batch in batches:
             out = []
             for i in range(batch.num_rows):

@@ -1,9 +1,14 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 Terms are words and their first letters, so that inflected forms of one stem share a
-term. From a bounded sample of labelled rows the terms that tell the classes apart best
-are chosen and a machine is fitted that weighs single terms and, through a vector per
-term, every pair of terms that meet in a text. Scoring is one pass over all texts.
+term. From a bounded sample of labelled rows terms are chosen: those that tell the classes
+apart best alone, and those that do so where they meet another, though they may say nothing
+alone. A machine is fitted on them that weighs single terms and, through a vector per term,
+every pair of terms that meet in a text. Scoring is one pass over all texts.
+
+The model is bounded: at most ``TERMS`` telling terms and ``PAIR_TERMS`` of pairs. Pairs are
+looked for among ``PAIR_CANDIDATES`` terms, a quarter of them the most telling, the others
+the most frequent; a pair of words rarer than these is not seen unless its words tell alone.
 """
 
 from __future__ import annotations
@@ -28,6 +33,9 @@ SAMPLE_ROWS = 12_000
 STEMS = (4, 5, 6, 7)
 #: Texts that a term must occur in to be kept, and the G statistic it must reach.
 LEAST_TEXTS, LEAST_G = 3, 15.0
+#: Terms whose pairs are counted, terms kept for their pairs, and by how much the G statistic
+#: of a pair must exceed those of its terms; with half a million pairs chance gives about 25.
+PAIR_CANDIDATES, PAIR_TERMS, LEAST_PAIR_G = 1024, 512, 60.0
 STEPS, RATE, RIDGE = 100, 0.1, 1e-3
 #: Words whose terms a task remembers.
 REMEMBERED = 200_000
@@ -119,12 +127,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     rows = of_class[:, BUCKETS]
     if not rows.all():
         return None
-    numbers = choose(of_class[:, :BUCKETS], rows)
-    known = docs.sparkSession.sparkContext.broadcast(numbers)
+    of_class = of_class[:, :BUCKETS]
+    said = telling(of_class, rows)
+    chosen = choose(of_class, said)
+    candidates = pair_candidates(of_class, said, rows)
+    partners = choose_pairs(candidates, *_numbered(texts, _by_bucket(candidates)))
+    numbers = _by_bucket(chosen | partners)
+    return train(numbers, *_numbered(texts, numbers))
+
+
+def _by_bucket(terms: set[int]) -> dict[int, int]:
+    return {t: i for i, t in enumerate(sorted(terms))}
+
+
+def _numbered(texts: DataFrame, numbers: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sample: the numbers of the terms in all texts, how many a text has, and its label."""
+    known = texts.sparkSession.sparkContext.broadcast(numbers)
     fed = texts.mapInArrow(_number_terms(known), "toxic int, terms array<int>").toArrow()
     terms = fed.column(1).combine_chunks()
-    lengths = np.diff(terms.offsets.to_numpy())
-    return train(numbers, terms.values.to_numpy(), lengths, fed.column(0).to_numpy().astype(float))
+    ends = terms.offsets.to_numpy()
+    found = terms.values.to_numpy()[ends[0] : ends[-1]]
+    return found, np.diff(ends), fed.column(0).to_numpy().astype(float)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +165,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def choose(of_class: np.ndarray, rows: np.ndarray) -> dict[int, int]:
-    """Numbers of the terms whose presence says most about the class (G statistic)."""
+def telling(of_class: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The G statistic of each term's presence: how much it says about the class."""
     total = rows.sum()
     seen = of_class.sum(axis=0)
     said = np.zeros(of_class.shape[1])
@@ -152,9 +175,44 @@ def choose(of_class: np.ndarray, rows: np.ndarray) -> dict[int, int]:
             with np.errstate(divide="ignore", invalid="ignore"):
                 part = there / total * np.log(there * total / (all_there * rows[c]))
             said += np.where(there > 0, part, 0)
-    said[(seen < LEAST_TEXTS) | (2 * total * said < LEAST_G)] = 0
-    best = np.argsort(-said, kind="stable")[:TERMS]
-    return {int(t): i for i, t in enumerate(np.sort(best[said[best] > 0]))}
+    return np.where(seen < LEAST_TEXTS, 0, 2 * total * said)
+
+
+def choose(of_class: np.ndarray, said: np.ndarray) -> set[int]:
+    """Terms that say most alone."""
+    best = np.argsort(-np.where(said < LEAST_G, 0, said), kind="stable")[:TERMS]
+    return {int(t) for t in best if said[t] >= LEAST_G}
+
+
+def pair_candidates(of_class: np.ndarray, said: np.ndarray, rows: np.ndarray) -> set[int]:
+    """The most telling terms, and the most frequent ones that some texts lack."""
+    seen = of_class.sum(axis=0)
+    best = [int(t) for t in np.argsort(-said, kind="stable")[: PAIR_CANDIDATES // 4] if said[t] >= LEAST_G]
+    common = np.where((seen >= LEAST_TEXTS) & (seen <= 0.95 * rows.sum()), seen, 0)
+    common[best] = 0
+    most = np.argsort(-common, kind="stable")[: PAIR_CANDIDATES - len(best)]
+    return {*best, *(int(t) for t in most if common[t])}
+
+
+def choose_pairs(
+    candidates: set[int], terms: np.ndarray, lengths: np.ndarray, y: np.ndarray
+) -> set[int]:
+    """Terms of the pairs whose meeting says more than either of them, best pairs first."""
+    names = sorted(candidates)
+    there = np.zeros((len(y), len(names)), np.float32)
+    there[np.repeat(np.arange(len(y)), lengths), terms] = 1
+    together = np.stack([there[y == c].T @ there[y == c] for c in (0, 1)]).astype(float)
+    rows = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    said = telling(together.reshape(2, -1), rows).reshape(together.shape[1:])
+    alone = np.diag(said)
+    gain = np.triu(said - np.maximum.outer(alone, alone), 1)
+    left, right = np.nonzero(gain >= LEAST_PAIR_G)
+    found: set[int] = set()
+    for k in np.argsort(-gain[left, right], kind="stable"):
+        if len(found) >= PAIR_TERMS:
+            break
+        found |= {names[left[k]], names[right[k]]}
+    return found
 
 
 def _number_terms(known):
