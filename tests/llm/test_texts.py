@@ -118,6 +118,48 @@ def test_marks_inside_an_article(inner, kept):
     assert block_text.main_blocks("<article>" + inner.format(PROSE) + "</article>") == kept
 
 
+@pytest.mark.parametrize(
+    "name",
+    """comment-list comments-area reader-comments notice ad-banner sidebar-box cookie-notice
+    newsletter-signup related-posts""".split(),
+)
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_strangers_inside_an_article_go(name, kind):
+    page = f'<article><h1>Title</h1><p>{PROSE}</p><div {kind}="{name}"><h3>More</h3><p>{PROSE}</p></div><p>{PROSE}</p></article>'
+    assert block_text.main_blocks(page) == ["Title", PROSE, PROSE]
+
+
+def test_a_strange_element_with_the_title_or_most_text_stays():
+    page = f'<article><div class="no-sidebar"><h1>Title</h1><p>{PROSE}</p></div><p>{PROSE}</p></article>'
+    assert block_text.main_blocks(page) == ["Title", PROSE, PROSE]
+    page = f'<article><div class="related-layout"><p>{PROSE}</p><p>{PROSE}</p></div><p>Yes.</p></article>'
+    assert block_text.main_blocks(page) == [PROSE, PROSE, "Yes."]
+
+
+@pytest.mark.parametrize("text", [
+    "Дом стоял на краю города, и люди приходили туда каждый вечер, чтобы поговорить о своих делах.",
+    "La casa sorgeva ai margini della città e la gente ci andava ogni sera per parlare dei propri affari.",
+])
+def test_languages_without_a_list_and_without_article(text):
+    menu = "<ul>" + "<li><a href=x>A link of the menu</a></li>" * 5 + "</ul>"
+    page = f"<body><div>{menu}</div><div><p>{text}</p><p>{text}</p></div></body>"
+    assert block_text.main_blocks(page) == [text, text]
+
+
+def test_a_title_beside_a_post_header():
+    page = f'<div class="post"><div class="post-header"><h1>Title</h1><span>By me</span></div><p>{PROSE}</p></div>'
+    assert block_text.main_blocks(page)[0].startswith("Title") and block_text.main_blocks(page)[-1] == PROSE
+    page = f'<div class="site-header"><p>{PROSE}</p></div><div><p>{PROSE}</p></div>'
+    assert block_text.main_blocks(page) == [PROSE]
+
+
+def test_scripts_end_at_their_end_and_hidden_elements_go():
+    page = f"<article><script src=/js/>var x=1;</script><p>{PROSE}</p><svg/><p>Yes.</p>"
+    page += f'<div hidden><p>{PROSE}</p></div><div style="color:red; display: none"><p>{PROSE}</p></div>'
+    page += f'<p class="not hidden so">{PROSE}</p></article>'
+    assert block_text.main_blocks(page) == [PROSE, "Yes.", PROSE]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</", "<!--", "<script>", "<a href='", "a < b", "<p>&#xZ;"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(block_text.main_blocks(page), list)

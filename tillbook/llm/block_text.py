@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +52,11 @@ ALIEN = frozenset(
     """ad ads advert adverts advertisement comment comments consent cookie cookies disqus gdpr
     newsletter popup promo promoted sponsor sponsored""".split()
 )
+#: Marks that, as any part of a class, id or role in a section, rule out an element that holds
+#: neither a title nor most of the section's text.
+STRANGE = ALIEN | frozenset("notice related respond sidebar signup subscribe".split())
+#: With one of these in the same class, "header" is that of the text and not of the site.
+OF_TEXT = frozenset("article content entry post story".split())
 #: Marks that say nothing inside a section, where titles and builders have them.
 NEUTRAL = frozenset("header widget".split())
 
@@ -60,6 +66,9 @@ _MARKUP = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|\Z)", re.I)
+_NO_DISPLAY = re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)display\s*:\s*none", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -72,22 +81,46 @@ class Block:
     outside: bool  # in an element that never holds article text
     heading: bool
     mark: int = 0  # the marked element of a section that holds it, 0 without
+    strange: tuple[int, ...] = ()  # the elements of a section with a mark of STRANGE
+    title: bool = False
 
 
 def _named(attributes: str) -> str:
     return " ".join(x.strip("\"'") for x in _NAMED.findall(attributes)).lower()
 
 
-def _marked(name: str, attributes: str, section: int) -> tuple[bool, bool]:
-    """Whether an element rules its text out, and whether it only speaks against it."""
+def _marked(name: str, attributes: str, section: int) -> tuple[bool, bool, bool]:
+    """Whether an element rules its text out, does so if it holds little, or speaks against it."""
+    if _HIDDEN.search(_QUOTED.sub('""', attributes)) or _NO_DISPLAY.search(attributes):
+        return True, False, False
     named = _named(attributes)
     if not named or name in ("html", "body", *SECTIONS):
-        return False, False
-    marks = MARKS & {*re.split(r"[\s_-]+", named)}
+        return False, False, False
+    parts = {*re.split(r"[\s_-]+", named)}
+    marks = MARKS & parts
     if not section:
-        return bool(marks), False
+        if OF_TEXT & parts:
+            marks = marks - NEUTRAL
+        return bool(marks), False, False
     alien = bool(ALIEN & {*named.split()})
-    return alien, bool(marks - NEUTRAL) and not alien
+    strange = bool(STRANGE & parts) and not alien
+    return alien, strange, bool(marks - NEUTRAL) and not alien
+
+
+def _without_strangers(found: list[Block]) -> list[Block]:
+    """Blocks of strange elements are outside, unless the element has a title or most text."""
+    of_section: Counter[int] = Counter()
+    of_element: Counter[int] = Counter()
+    kept: set[int] = set()
+    for b in found:
+        if not b.outside:
+            of_section[b.section] += len(b.text)
+            of_element.update(dict.fromkeys(b.strange, len(b.text)))
+            if b.title:
+                kept.update(b.strange)
+    for b in found:
+        kept.update(e for e in b.strange if 2 * of_element[e] > of_section[b.section])
+    return [replace(b, outside=True) if {*b.strange} - kept else b for b in found]
 
 
 def blocks(page: str) -> list[Block]:
@@ -95,17 +128,19 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int, int]] = []  # name, outside, section, mark
+    # name, outside, section, mark, strange
+    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []
     sections, marks, in_link, heading, title, at = 0, 0, False, False, False, 0
-    para = (False, 0)  # outside and mark of the open <p>
+    para: tuple[bool, int, tuple[int, ...]] = (False, 0, ())  # outside, mark, strange of the open <p>
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             links = len(" ".join(html.unescape("".join(linked)).split()))
-            _, outside, section, mark = stack[-1] if stack else ("", False, 0, 0)
+            _, outside, section, mark, strange = stack[-1] if stack else ("", False, 0, 0, ())
             mark = 0 if title else para[1] or mark
-            found.append(Block(text, links, section, outside or para[0], heading, mark))
+            outside = outside or para[0]
+            found.append(Block(text, links, section, outside, heading, mark, para[2] or strange, title))
         parts.clear()
         linked.clear()
 
@@ -126,7 +161,8 @@ def blocks(page: str) -> list[Block]:
             continue
         ends, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if name in RAW:
-            if not ends and not attributes.endswith("/"):
+            # a slash ends an element only in foreign markup
+            if not ends and not (name in ("svg", "math") and attributes.endswith("/")):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
         elif name == "a":
@@ -138,7 +174,7 @@ def blocks(page: str) -> list[Block]:
         else:
             close()
             heading = not ends and name in ("h1", "h2", "h3", "h4", "h5", "h6")
-            title, para = not ends and name == "h1", (False, 0)
+            title, para = not ends and name == "h1", (False, 0, ())
             if ends:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
@@ -146,23 +182,24 @@ def blocks(page: str) -> list[Block]:
                         break
                 in_link = False
             elif name not in VOID:
-                _, outside, section, mark = stack[-1] if stack else ("", False, 0, 0)
+                _, outside, section, mark, strange = stack[-1] if stack else ("", False, 0, 0, ())
                 if name in SECTIONS and not outside and not section:
                     sections += 1
                     section = sections
                 if name in OUTSIDE or name == "header" and not section:
                     outside = True
-                alien, marked = _marked(name, attributes, section)
+                alien, odd, marked = _marked(name, attributes, section)
                 outside = outside or alien
-                if marked:
+                if marked or odd:
                     marks += 1
-                    mark = marks
+                    mark = marks if marked else mark
+                    strange = (*strange, marks) if odd else strange
                 if name == "p":
-                    para = (outside, mark)
+                    para = (outside, mark, strange)
                     continue
-                stack.append((name, outside, section, mark))
+                stack.append((name, outside, section, mark, strange))
     close()
-    return found
+    return _without_strangers(found)
 
 
 def _decided(block: Block, has_section: bool) -> bool | None:
@@ -175,9 +212,7 @@ def _decided(block: Block, has_section: bool) -> bool | None:
         return None
     words = _WORD.findall(block.text.lower())
     share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if share >= PROSE_SHARE:
-        return True
-    return None if block.section else False
+    return True if share >= PROSE_SHARE else None
 
 
 def main_blocks(page: str) -> list[str]:
@@ -185,6 +220,12 @@ def main_blocks(page: str) -> list[str]:
     found = blocks(page)
     has_section = any(b.section and not b.outside for b in found)
     labels = [_decided(b, has_section) for b in found]
+    if not has_section and True not in labels:
+        # no prose in a language with a list: length and links alone decide
+        labels = [
+            True if label is None and not b.heading and len(b.text) >= SHORT_CHARS else label
+            for b, label in zip(found, labels, strict=True)
+        ]
     settled = list(labels)
     votes = [_votes(found, labels, i) for i in range(len(found))]
     for i, block in enumerate(found):
