@@ -124,15 +124,50 @@ def test_mixing_meets_its_targets(spark):
     have = [sum(r.rate * r.tokens * p for r, p in zip(rows, ps, strict=True)) for ps in (
         [r.p_high for r in rows], [r.p_low for r in rows])]
     total = sum(r.tokens for r in rows)
-    assert abs(have[0] - total / 2) < 0.001 * total and abs(have[1] - total / 2) < 0.001 * total
+    assert abs(have[0] - total / 2) < 1e-5 * total and abs(have[1] - total / 2) < 1e-5 * total
+    assert mixture.pull.miss < 1e-6
     assert np.mean([(r.p_high > 0.5) == (r.doc_id < 150) for r in rows if r.doc_id % 2]) > 0.95
-    # brute force: the same steps on all rates at once
-    p = np.array([[r.p_high, r.p_low] for r in rows]) * np.array([[r.tokens] for r in rows])
-    q, rate = p / np.array([[r.tokens] for r in rows]), np.ones(len(rows))
-    gram = p.T @ q
-    for _ in range(60):
-        rate = np.maximum(0, rate - q @ np.linalg.solve(gram, p.T @ rate - total / 2))
-    assert np.abs(rate - [r.rate for r in rows]).max() < 1e-3
+    nearest = brute_rates(mixture, [0.5 * total] * 2, 0.0)
+    assert all(abs(r.rate - nearest[r.doc_id]) < 1e-4 for r in rows)
+
+
+def brute_rates(mixture, aim, least):
+    """The rates nearest to 1 that meet ``aim``: every rate by itself, small safe steps."""
+    known = mixture.known.collect()
+    q, t = np.array([r.p for r in known]), np.array([[r.tokens] for r in known], float)
+    gram, pull = (q * t).T @ q, np.zeros(q.shape[1])
+    for _ in range(20_000):
+        rate = np.maximum(least, 1 - q @ pull)
+        pull += np.linalg.solve(gram, (q * t).T @ rate - aim)
+    return {r.doc_id: x for r, x in zip(known, rate, strict=True)}
+
+
+@pytest.mark.parametrize("least, high", [(0.0, 0.97), (0.0, 0.2), (1.0, 0.55), (1.0, 0.9)])
+def test_mixing_of_soft_members(spark, least, high):
+    rng = np.random.default_rng(3)
+    known = spark.createDataFrame(
+        [(i, int(rng.integers(1, 400)), [float(x), float(1 - x)]) for i, x in enumerate(rng.beta(0.5, 0.2, 300))],
+        "doc_id long, tokens long, p array<double>",
+    )
+    pull = soft_mixing.fit_rates(known, [high, 1 - high], least)
+    rows = known.select("doc_id", "tokens", "p", pull.rate(F.col("p")).alias("rate")).collect()
+    out = sum(r.tokens * r.rate for r in rows)
+    assert pull.miss < 1e-6 and min(r.rate for r in rows) >= least
+    assert abs(sum(r.tokens * r.rate * r.p[0] for r in rows) / out - high) < 1e-6
+    if not least:  # with a least rate the total is free, so the nearest of one total differ
+        nearest = brute_rates(soft_mixing.Mixture(None, pull, known), np.array([high, 1 - high]) * out, 0.0)
+        assert all(abs(r.rate - nearest[r.doc_id]) < 1e-4 for r in rows)
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_mixing_tells_targets_out_of_reach(spark, least):
+    known = spark.createDataFrame(
+        [(i, 10, [0.6 + i / 1000, 0.4 - i / 1000]) for i in range(100)], "doc_id long, tokens long, p array<double>"
+    )
+    pull = soft_mixing.fit_rates(known, [0.9, 0.1], least)
+    rows = known.select("tokens", pull.rate(F.col("p")).alias("rate")).collect()
+    assert pull.miss > 0.05
+    assert sum(r.tokens * r.rate for r in rows) <= 1000 * soft_mixing.GROWTH * 1.1
 
 
 def test_mixing_with_rates_of_one_at_least_keeps_every_row(spark):

@@ -3,16 +3,19 @@
 A classifier of hashed words, fitted on the labelled table, gives every document a
 posterior over domains. Nonnegative rates are then fitted by projected gradient on the
 squared distance between expected domain tokens, the sum of rate * tokens * posterior,
-and their targets. In the metric of the weighted Gram matrix a full step is safe and a
-document's step is its posterior times one vector, so the rates of all documents are a
-function of the few vectors so far: each step is one aggregation over (tokens,
-posterior), and nothing of a document's size or number passes through the driver.
+and their targets. The gradient of a document's rate is its posterior times one vector,
+the miss. Steps are summed and their sum is projected, so the rates are a function of the
+posterior and one vector, and each step is one aggregation over (tokens, posterior):
+nothing of a document's size or number passes through the driver. The Gram matrix of the
+documents above the least rate is the metric of a step, which makes them few. Of all
+rates that meet the targets these are the nearest to 1.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,7 +29,11 @@ BUCKETS, SAMPLE_ROWS = 4096, 20_000
 #: How far the mean of a text's word weights moves the posterior.
 STRENGTH = 10.0
 SMOOTHING = 1.0
-STEPS, CLOSE = 40, 1e-7
+#: A fit ends when the gradient, in shares of the tokens, is below ``CLOSE``. ``RIDGE`` is the
+#: weight of the rates' distance from 1; it bounds the pull of targets that are out of reach.
+STEPS, CLOSE, RIDGE = 100, 1e-9, 1e-9
+#: Rates of at least more than 0 make tokens more, by this factor at most.
+GROWTH = 4.0
 RATE_DIGITS = 6
 
 
@@ -107,54 +114,95 @@ def with_posterior(df: DataFrame, text: str, classifier: Classifier) -> DataFram
     )
 
 
-def rate(p: Column, steps: list[list[float]], least: float) -> Column:
-    """The rate that a posterior comes to after ``steps``; every step projects onto ``least``."""
-    if not steps:
-        return F.lit(max(1.0, least))
-    moved = lambda y: F.aggregate(F.zip_with(p, y, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(
-        _constant(steps), F.lit(1.0), lambda r, y: F.greatest(F.lit(least), r - moved(y))
+@dataclass(frozen=True)
+class Pull:
+    """Rates are 1 less the product of ``by`` and the posterior less ``base``, ``least`` at
+    least. ``miss`` is the largest distance from a target, as a share of the tokens."""
+
+    by: tuple[float, ...]
+    base: tuple[float, ...]
+    least: float
+    miss: float = 0.0
+
+    def free_rate(self, p: Column) -> Column:
+        moved = [(p[i] - self.base[i]) * y for i, y in enumerate(self.by)]
+        return reduce(lambda r, m: r - m, moved, F.lit(1.0))
+
+    def rate(self, p: Column) -> Column:
+        return F.greatest(F.lit(self.least), self.free_rate(p))
+
+
+def _measure(known: DataFrame, pull: Pull, aim: np.ndarray, size: float):
+    """At ``pull``: by how much each sum misses its aim, the Gram matrix of the documents
+    above the least rate, and the height of the dual objective whose slope is the miss."""
+    k = len(pull.by)
+    rows = known.select(
+        (F.col("tokens") / F.lit(size)).alias("t"),
+        *[(F.col("p")[i] - pull.base[i]).alias(f"q{i}") for i in range(k)],
+        pull.free_rate(F.col("p")).alias("u"),
     )
+    t, u, least = F.col("t"), F.col("u"), F.lit(pull.least)
+    q = [F.col(f"q{i}") for i in range(k)]
+    free = F.when(u >= least, t).otherwise(0.0)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    sums = [F.sum(t * F.greatest(least, u) * x) for x in q]
+    sums += [F.sum(free * q[i] * q[j]) for i, j in pairs]
+    sums.append(F.sum(t * F.when(u > least, u * u / 2).otherwise(least * u - least * least / 2)))
+    found = np.array(rows.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first(), float)
+    gram = np.zeros((k, k))
+    for (i, j), value in zip(pairs, found[k:-1], strict=True):
+        gram[i, j] = gram[j, i] = value
+    y = np.array(pull.by)
+    return found[:k] - aim, gram, -found[-1] - aim @ y - RIDGE * (y @ y) / 2
 
 
 def fit_rates(
-    known: DataFrame, targets: list[float], least: float = 0.0, total: float | None = None
-) -> list[list[float]]:
-    """Steps for ``rate``, from ``known`` (tokens, p). ``targets`` are weights of the domains.
+    known: DataFrame,
+    targets: list[float],
+    least: float = 0.0,
+    total: float | None = None,
+    growth: float = GROWTH,
+) -> Pull:
+    """Rates from ``known`` (tokens, p) whose expected domain tokens are in the proportions
+    of ``targets``.
 
     ``total`` is the number of tokens aimed at: by default what there is, or with rates of
-    at least ``least`` > 0 the least number at which no domain must shrink.
+    at least ``least`` > 0 whatever number lets the rates stay nearest to 1, up to ``growth``
+    times what there is. Targets out of reach are met in least squares, and ``miss`` tells
+    how far they are.
     """
     k = len(targets)
-    t = F.col("tokens").cast("double")
-    sums = [F.sum(t * F.col("p")[i]) for i in range(k)]
-    gram = [F.sum(t * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
-    row = known.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums + gram)]).first()
-    row = np.array([x or 0.0 for x in row])
-    have, gram = row[:k], row[k:].reshape(k, k)
+    size = float(known.agg(F.sum("tokens")).first()[0] or 0)
     weights = np.array(targets, float) / max(sum(targets), 1e-12)
-    if total is None:
-        total = have.sum()
-        if least > 0:
-            total = max((h / w for h, w in zip(have, weights, strict=True) if w > 0), default=total)
-    aim = weights * total
-    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    steps: list[list[float]] = []
-    for _ in range(STEPS if have.sum() else 0):
-        if steps:
-            r = rate(F.col("p"), steps, least)
-            row = known.select("tokens", "p", r.alias("r")).agg(
-                *[F.sum(t * F.col("r") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]
-            )
-            have = np.array(row.first(), float)
-        miss = have - aim
-        if np.abs(miss).max() <= CLOSE * max(total, 1.0):
+    shares_only = total is None and least > 0
+    base = weights if shares_only else np.zeros(k)
+    by = np.zeros(k)
+
+    def pulled(y: np.ndarray, miss: float = 0.0) -> Pull:
+        return Pull(tuple(map(float, y)), tuple(map(float, base)), float(least), miss)
+
+    if not size:
+        return pulled(by)
+    aim = np.zeros(k) if shares_only else weights * ((size if total is None else total) / size)
+    miss, gram, height = _measure(known, pulled(by), aim, size)
+    slope, part = miss - RIDGE * by, 1.0
+    for _ in range(STEPS):
+        if np.abs(slope).max() <= CLOSE:
             break
-        step = inverse @ miss
-        if np.abs(step).max() < 1e-9:
-            break  # the targets are out of reach: this is the least distance
-        steps.append([float(x) for x in step])
-    return steps
+        way = np.linalg.solve(gram + RIDGE * np.eye(k), slope)
+        tried = _measure(known, pulled(by + part * way), aim, size)
+        steep = tried[0] - RIDGE * (by + part * way)
+        if tried[2] < height + 1e-4 * part * (slope @ way) and np.abs(steep).max() >= np.abs(slope).max():
+            part /= 2  # too far: documents came to the least rate or left it
+            continue
+        by, part = by + part * way, 1.0
+        (miss, gram, height), slope = tried, steep
+    found = pulled(by, float(np.abs(miss).max()))
+    if shares_only:
+        out = known.agg(F.sum(F.col("tokens") * found.rate(F.col("p")))).first()[0]
+        if out > growth * size:  # so few documents lack the domains that shrink
+            return fit_rates(known, targets, least, growth * size)
+    return found
 
 
 def copies(r: Column, *key: Column) -> Column:
@@ -166,8 +214,7 @@ def copies(r: Column, *key: Column) -> Column:
 @dataclass(frozen=True)
 class Mixture:
     classifier: Classifier
-    steps: list[list[float]]
-    least: float
+    pull: Pull
     known: DataFrame  # doc_id, tokens, p of every row
 
 
@@ -183,7 +230,7 @@ def fit(
     weights = [float(targets.get(d, 0.0)) for d in classifier.domains]
     if not any(weights):
         weights = [1.0] * len(weights)
-    return Mixture(classifier, fit_rates(known, weights, least), least, known)
+    return Mixture(classifier, fit_rates(known, weights, least), known)
 
 
 def rates(mixture: Mixture) -> DataFrame:
@@ -193,7 +240,7 @@ def rates(mixture: Mixture) -> DataFrame:
     repeat and get equal rates; an empty table gives no rows. Without labels the only
     domain is "all". Targets out of reach are met in least squares.
     """
-    r = F.round(rate(F.col("p"), mixture.steps, mixture.least), RATE_DIGITS)
+    r = F.round(mixture.pull.rate(F.col("p")), RATE_DIGITS)
     names = mixture.classifier.domains
     rows = mixture.known.withColumn("rate", r)
     return rows.select(
@@ -211,6 +258,6 @@ def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_of(docs).alias("text")
     )
     rows = with_posterior(rows, "text", mixture.classifier)
-    r = F.round(rate(F.col("p"), mixture.steps, mixture.least), RATE_DIGITS)
+    r = F.round(mixture.pull.rate(F.col("p")), RATE_DIGITS)
     taken = rows.select("row", copies(r, F.col("row.doc_id")).alias("n"))
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("row.*")
