@@ -13,8 +13,9 @@ from tillbook.llm import bin_packing, exact_dedup, factor_machine, soft_mixing,
 from tillbook.llm.common import quality_domains, table
 from tillbook.plans.worktables import materialize
 
-#: Shares of the tokens after mixing. No document is dropped: rates are 1 at least.
-TARGETS = {"high": 0.9, "low": 0.1}
+#: Shares of the tokens after mixing. No document is dropped: rates are 1 at least, so the
+#: domain that is short of its share comes more often.
+TARGETS = {"high": 0.7, "low": 0.3}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
