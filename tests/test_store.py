@@ -85,10 +85,10 @@ def test_found_rows_are_exact_and_few_files_are_opened(spark, tmp_path, monkeypa
 
 
 def test_merge_prunes_by_month(spark, tmp_path):
-    from tillbook.sources.store import _in_months
+    from tillbook.sources.store import in_months
 
     store = new_store(spark, tmp_path, {"sale_id": "a"}, {"sale_id": "b", "sold_on": dt.date(2020, 2, 2)})
-    some = store.read().filter(_in_months([dt.date(2020, 2, 1), None]))
+    some = store.read().filter(in_months([dt.date(2020, 2, 1), None]))
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*month", plan)
     assert [r.sale_id for r in some.collect()] == ["b"]

@@ -130,6 +130,15 @@ _TABLES = {
               or day not between date '2000-01-01' and date '2100-12-31')
             then 'ordered_on_out_of_range' end]) as rule
         from read_rows""",
+    "sales_after": """
+        select sold_on, amount, product_id, place,
+          case when taken is null then qty else qty - taken end as qty
+        from sales s left join (select sale_id, cast(sum(qty) as bigint) as taken
+          from return_verdicts where reason is null group by sale_id) t on s.sale_id = t.sale_id
+        where taken is null or qty <> taken
+        union all
+        select sold_on, cast(sell_price * qty as decimal(18,2)), product_id, place, qty
+        from sale_verdicts where reason is null""",
     "margins": """
         select sold_on, (sell_price - buy_price) * qty as margin
         from sales join products using (product_id)""",
@@ -591,6 +600,20 @@ _QUERIES = {
     "sales_store_lookup": """
       select sale_id, sold_on, cast(amount as double) as amount, product_id, place, qty
       from sales where sale_id in (select sale_id from return_requests)""",
+    "rolled_sales": """
+      select product_id, place, cast(greatest(sold_on - cast(dayofweek(sold_on) as integer),
+          date_trunc('month', sold_on)) as date) as first_day,
+        cast(coalesce(sum(qty), 0) as bigint) as units, count(qty) as unit_rows,
+        cast(coalesce(sum(amount), 0) as double) as revenue, count(amount) as revenue_rows,
+        count(*) as sale_rows
+      from sales_after group by all""",
+    "rolled_margin_by_week": """
+      select sold_on - cast(dayofweek(sold_on) as integer) as period,
+        cast(coalesce(sum((sell_price - buy_price) * qty), 0) as double) as total_margin
+      from sales_after join products using (product_id) group by 1""",
+    "rolled_revenue_by_place": """
+      select place, cast(sum(amount) as double) as total_sales from sales_after
+      group by place order by total_sales desc nulls last, place nulls first""",
     "add_products_ids": """
       select count(*) as ids, count(*) as distinct_ids, max(top) + 1 as least,
         max(top) + count(*) as highest

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.operators import actions, catalog, compare, intake, ledger, listings, sales
+from tillbook.operators import actions, catalog, compare, intake, ledger, listings, rollups, sales
 from tillbook.plans.staging import AS_OF, RetailData, retail_data
 from tillbook.plans.worktables import new_path
 from tillbook.sources import MonthStore, export_table, read_export
+from tillbook.sources.rollups import RollupStore
 from tillbook.sources.schemas import TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +119,16 @@ def _store_after_returns(d: RetailData) -> DataFrame:
     return store.read().select(*TABLES["sales"].fieldNames())
 
 
+def _rolled(d: RetailData) -> DataFrame:
+    """The rollup of all sales after a batch of sales and one of returns."""
+    store = RollupStore(d.spark, new_path(d.spark, "sales-rollup"))
+    store.create(d.sales)
+    store.apply(rollups.moves_of_sales(_apply_sales(d).accepted), batch=1)
+    day = _apply_returns(d)
+    store.apply(rollups.moves_of_returns(d.sales, day.changed_sales, day.removed_sales), batch=2)
+    return store.read()
+
+
 def _stock(products: DataFrame) -> DataFrame:
     return products.select("product_id", "stock_qty", "sold_qty")
 
@@ -210,6 +221,11 @@ _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     "apply_returns_blocks_rejected": lambda d: _apply_returns(d, fold_limit=1, block_rows=20_000).rejected,
     "sales_store_after_returns": _store_after_returns,
     "sales_store_lookup": lambda d: _sales_store(d).find(d.return_requests).drop("month"),
+    "rolled_sales": _rolled,
+    "rolled_margin_by_week": lambda d: sales.margin_by_period(
+        rollups.as_sales(_rolled(d)), d.products, "week"
+    ),
+    "rolled_revenue_by_place": lambda d: sales.revenue_by_place(rollups.as_sales(_rolled(d))),
     "add_products": lambda d: _without_new_ids(_added(d), "ADD-"),
     "add_products_ids": lambda d: _ids(_added(d), "ADD-"),
     "add_products_rejected": lambda d: catalog.add_products(
