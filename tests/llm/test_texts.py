@@ -87,6 +87,7 @@ def test_known_items():
         ("in Berliner Stra\u00dfe 5a", "address", "Berliner Stra\u00dfe 5a"),
         ("au 12 rue de la Paix \u00e0", "address", "12 rue de la Paix"),
         ("la calle Mayor 5, y", "address", "calle Mayor 5"),
+        ("\u0130\u0130 User ID: 88213377", "account", "88213377"),
         ("at 12 MAIN STREET", "address", "12 MAIN STREET"),
         ("(12 Old Mill Rd)", "address", "12 Old Mill Rd"),
         ("7 " + "Very Long Name " * 20 + "Road", "address", "7 " + "Very Long Name " * 20 + "Road"),

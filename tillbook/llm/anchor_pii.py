@@ -230,8 +230,10 @@ _SMALL = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def _in_small_letters(text: str) -> str:
-    """A-Z in small letters; every character keeps its place."""
-    return text.lower() if text.isascii() else text.translate(_SMALL)
+    """``text`` in small letters, or only A-Z of it where others would change their number:
+    every character keeps its place."""
+    small = text.lower()
+    return small if len(small) == len(text) else text.translate(_SMALL)
 
 
 def automaton() -> ahocorasick.Automaton:
