@@ -163,3 +163,29 @@ def test_load_tables(spark, tmp_path):
     tables = load_tables(spark, str(tmp_path))
     assert tables.products.schema == schemas.PRODUCTS
     assert tables.special_days.count() == 0
+
+
+def test_import_and_check_reads_rows_once(spark):
+    raw = make.raw_products(
+        spark, {"sku": "1"}, {"sku": "2", "category_name": "nowhere"}, {"sku": "3", "buy_price": "1.5"},
+        {"sku": "4", "product_name": None, "stock_qty": "-2"},
+    )
+    dims = make.categories(spark), make.producers(spark)
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    counted = raw.mapInArrow(read, raw.schema)
+    found = intake.import_and_check(counted, *dims)
+    assert found.accepted.count() + found.rejected.count() == 4
+    assert reads.value == 4
+    plain = intake.import_products(raw, *dims)
+    assert make.sorted_rows(found.accepted) == make.sorted_rows(plain.accepted)
+    assert make.sorted_rows(found.rejected) == make.sorted_rows(plain.rejected)
+    separate = intake.count_violations(intake.check_intake(raw, *dims)).collect()
+    assert {r.rule: r.row_count for r in separate} == {k: n for k, n in found.broken.items() if n}
+    empty = intake.import_and_check(raw.limit(0), *dims)
+    assert set(empty.broken.values()) == {0}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillbook.functions import is_blank, normalize_date, whole_number
+from tillbook.plans.worktables import materialize
 from tillbook.sources.schemas import MONEY, PRODUCT_ATTRIBUTES, RAW_PRODUCT_COLUMNS
 
 # The order dates the template allows.
@@ -101,6 +102,10 @@ def import_products(raw: DataFrame, categories: DataFrame, producers: DataFrame)
     """
     require_columns(raw)
     rows = _read_rows(raw.select(*RAW_PRODUCT_COLUMNS), categories, producers)
+    return _split(rows)
+
+
+def _split(rows: DataFrame) -> Intake:
     read = ("buy_price", "sell_price", "stock_qty", "ordered_on")
     accepted = rows.filter(F.col("reason").isNull()).select(
         *[F.col(f"typed.{c}").alias(c) if c in read else F.col(c) for c in PRODUCT_ATTRIBUTES]
@@ -109,6 +114,35 @@ def import_products(raw: DataFrame, categories: DataFrame, producers: DataFrame)
     return Intake(accepted, rejected)
 
 
+class CheckedIntake(NamedTuple):
+    accepted: DataFrame
+    rejected: DataFrame
+    broken: dict[str, int]
+
+
+def import_and_check(
+    raw: DataFrame,
+    categories: DataFrame,
+    producers: DataFrame,
+    rules: Mapping[str, Column] | None = None,
+) -> CheckedIntake:
+    """``import_products``, and by rule how many rows break it, in one pass over ``raw``.
+
+    The rows are written once with their reasons; the counts are observed while they are,
+    behind the joins, in the tasks that write: those count once, also when they are retried.
+    Accepted and rejected rows are read from what was written. A rule nobody breaks has 0.
+    """
+    require_columns(raw)
+    rules = template_rules() if rules is None else rules
+    rows = _read_rows(raw.select(*RAW_PRODUCT_COLUMNS), categories, producers)
+    listed = rows.withColumn("category_listed", F.col("category_id_held").isNotNull())
+    listed = listed.withColumn("producer_listed", F.col("producer_id_held").isNotNull())
+    seen = Observation()
+    counts = [F.count_if(broken).alias(rule) for rule, broken in rules.items()]
+    written = materialize(listed.observe(seen, *counts), "intake")
+    return CheckedIntake(*_split(written), {rule: seen.get[rule] for rule in rules})
+
+
 def template_rules() -> dict[str, Column]:
     """Rule name → condition that breaks it, for the columns of an intake row.
 

@@ -653,6 +653,13 @@ _QUERIES = {
 }
 
 
+#: Queries that come to the rows of another one in another way.
+_SAME = {
+    "import_observed_counts": "intake_violation_counts",
+    "import_observed_accepted": "import_products",
+}
+
+
 def _used(sql: str, found: dict[str, None]) -> None:
     """Collect the tables ``sql`` names, each after those it needs itself."""
     for name in _TABLES:
@@ -672,4 +679,5 @@ def _statement(sql: str) -> str:
 
 
 def all_oracles() -> dict[str, str]:
-    return {name: _statement(sql) for name, sql in _QUERIES.items()}
+    queries = _QUERIES | {name: _QUERIES[same] for name, same in _SAME.items()}
+    return {name: _statement(sql) for name, sql in queries.items()}

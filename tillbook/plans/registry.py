@@ -70,6 +70,12 @@ def _import_appended(d: RetailData) -> DataFrame:
     return _without_new_ids(catalog.append_products(d.products, _import(d).accepted), "NEW-")
 
 
+def _observed_counts(d: RetailData) -> DataFrame:
+    broken = intake.import_and_check(d.raw_products, d.categories, d.producers).broken
+    rows = [(rule, n) for rule, n in broken.items() if n]  # as many as rules
+    return d.spark.createDataFrame(rows, "rule string, row_count long")
+
+
 def _domain_values(d: RetailData) -> DataFrame:
     return (
         intake.domain_values(d.categories, "category_name")
@@ -161,6 +167,10 @@ _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     "import_dates": lambda d: _import(d).accepted.select("sku", "ordered_on"),
     "intake_violations": _violations,
     "intake_violation_counts": lambda d: intake.count_violations(_violations(d)),
+    "import_observed_counts": _observed_counts,
+    "import_observed_accepted": lambda d: intake.import_and_check(
+        d.raw_products, d.categories, d.producers
+    ).accepted,
     "domain_values": _domain_values,
     # listings
     "product_list": lambda d: listings.product_list(d.products),
