@@ -112,10 +112,10 @@ def near_classes(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("most_blocks", [16, 0])
-def test_near_duplicates(spark, monkeypatch, most_blocks):
-    monkeypatch.setattr(superminhash, "BLOCK_SHINGLES", 400)
-    monkeypatch.setattr(superminhash, "MOST_BLOCKS", most_blocks)
+@pytest.mark.parametrize("block", [100_000, 400, 1])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(superminhash, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(superminhash, "ROWS_PER_COPY", 3)
     rng, rows = random.Random(8), []
     for base in sentences(3, 12, words=60):
         for _ in range(20):
@@ -129,6 +129,28 @@ def test_near_duplicates(spark, monkeypatch, most_blocks):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_near_copies_of_texts_that_share_an_id(spark):
+    one, two, three = sentences(4, 3, words=60)
+    rows = [(1, one), (1, two), (5, two + " end"), (6, one + " end"), (0, three), (2, three), (2, one + " x")]
+    docs = documents(spark, *rows).withColumn("doc_id", F.col("doc_id").cast("int"))
+    found = superminhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [
+        (0, 0, True), (1, 1, True), (1, 1, True), (2, 0, False), (2, 1, False), (5, 1, False), (6, 1, False)
+    ]
+    kept = superminhash.without_near_copies(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[:2] + rows[4:5])
+
+
+def test_links_that_pivots_leave_out(spark, monkeypatch):
+    """A chain: neighbours are linked, but few of its texts with the pivot."""
+    monkeypatch.setattr(superminhash, "BLOCK_SHINGLES", 150)
+    words = sentences(9, 1, words=120)[0].split()
+    rows = [(k, " ".join(words[4 * k : 4 * k + 60])) for k in range(15)]
+    rows += [(100 + k, " ".join(words[4 * k : 4 * k + 59])) for k in range(15)]
+    found = superminhash.near_duplicates(documents(spark, *rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_classes(rows)
+
+
 def test_near_awkward(spark):
     found = superminhash.near_duplicates(with_clashes(awkward(spark))).collect()
     assert len(found) == 10

@@ -4,7 +4,9 @@ A document's set holds its distinct 5-word shingles. SuperMinHash gives each ele
 random permutation of the signature's places with ranks that rise along it (place j of
 the permutation gets rank j plus a fraction), so places are filled evenly and a document
 is done as soon as no later rank can lower any of its values. Documents that agree in a
-band are candidates; every link is confirmed on the full sets.
+band are candidates; every link is confirmed on the full sets. A large group of candidates is
+first held against pivots, one comparison a document; what that connects is not compared
+again.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.components import connected_components
@@ -29,9 +31,8 @@ PLACES = BANDS * ROWS
 #: Shingles that are signed at once, and that one block of a group of candidates holds.
 SIGNED_AT_ONCE = 200_000
 BLOCK_SHINGLES = 100_000
-#: Blocks up to which candidates that hang together are compared as one group; beyond,
-#: each bucket is a group of its own.
-MOST_BLOCKS = 16
+#: Rows that are compared with one copy of their pivot's set.
+ROWS_PER_COPY = 500
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -128,22 +129,28 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            sets = [shingles(t.as_py()).view(np.int64) for t in part.column(1)]
+            sets = [shingles(t.as_py()) for t in batch.column(1).slice(at, 500)]
             sizes = np.array([0, *map(len, sets)], np.int32).cumsum(dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(sizes, np.concatenate(sets))],
-                names=["rep", "hashes"],
+                [
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.ListArray.from_arrays(sizes, np.concatenate(sets).view(np.int64)),
+                ],
+                names=["digest", "hashes"],
             )
 
 
-def linked_in_block(reps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between the sets of a block, as many as connect what links connect.
+def linked_in_block(
+    trees: list[int], sets: list[np.ndarray], bands: list[np.ndarray | None], firsts: int
+) -> list[tuple[int, int]]:
+    """Links between the trees of a block, as many as connect what links connect.
 
-    Overlaps come from an inverted index of the block: for each set the owners of its
-    shingles are counted.
+    Each set belongs to a tree; sets of one tree need no link. The ``firsts`` sets in
+    front are compared with all behind them, the others not with each other. Sets with
+    ``bands`` are candidates only when they agree in one. Overlaps come from an inverted
+    index of the block: for each set the owners of its shingles are counted.
     """
-    root = {x: x for x in reps}
+    root = {x: x for x in trees}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -157,7 +164,7 @@ def linked_in_block(reps: list[int], sets: list[np.ndarray]) -> list[tuple[int,
     start = np.concatenate(([0], np.cumsum(count)[:-1]))
     ends = np.cumsum(sizes)
     apart, links = len(root), []
-    for i in range(len(sets)):
+    for i in range(firsts):
         if apart == 1:
             break
         mine = place[ends[i] - sizes[i] : ends[i]]
@@ -170,75 +177,85 @@ def linked_in_block(reps: list[int], sets: list[np.ndarray]) -> list[tuple[int,
         near = 100 * shared >= PERCENT * (sizes[i] + sizes - shared)
         near[: i + 1] = False
         for j in np.flatnonzero(near):
-            a, b = find(reps[i]), find(reps[j])
-            if a != b:
+            a, b = find(trees[i]), find(trees[j])
+            if a != b and (bands[i] is None or (bands[i] == bands[j]).any()):
                 root[max(a, b)] = min(a, b)
                 apart -= 1
-                links.append((reps[i], reps[j]))
+                links.append((trees[i], trees[j]))
     return links
 
 
 def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, i, j, rep, hashes) arrive with those of a block pair together."""
-    block, reps, sets = None, [], []
+    """Rows (group, i, j, behind, tree, hashes, bands): a block pair's together, ``behind`` last."""
+    block, firsts, trees, sets, bands = None, 0, [], [], []
 
     def links() -> pa.RecordBatch:
-        found = linked_in_block(reps, sets)
+        found = linked_in_block(trees, sets, bands, firsts)
         return pa.RecordBatch.from_arrays(
             [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
         )
 
     for batch in batches:
         keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        ids, hashes = batch.column(3).to_pylist(), batch.column(4)
+        behind, of = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         for i, key in enumerate(keys):
             if key != block:
-                if len(reps) > 1:
+                if len(trees) > 1:
                     yield links()
-                block, reps, sets = key, [], []
-            reps.append(ids[i])
-            sets.append(hashes[i].values.to_numpy())
-    if len(reps) > 1:
+                block, firsts, trees, sets, bands = key, 0, [], [], []
+            firsts += not behind[i]
+            trees.append(of[i])
+            sets.append(batch.column(5)[i].values.to_numpy())
+            band = batch.column(6)[i]
+            bands.append(band.values.to_numpy() if band.is_valid else None)
+    if len(trees) > 1:
         yield links()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
-    Documents are linked when 100 * intersection >= 75 * union of their shingle sets;
-    component_id is the smallest doc_id reachable over links. Null and empty texts, and
-    those of white space alone, have no shingles and link with nothing. Repeated rows of
-    a doc_id each give a row. A row without doc_id links with nothing, has no component
-    and is kept. An empty table gives no rows. Other columns are not read.
+    Documents are linked when they agree in a band and 100 * intersection >= 75 * union of
+    their shingle sets; component_id is the smallest doc_id reachable over links. Null and
+    empty texts, and those of white space alone, have no shingles and link with nothing.
+    Repeated rows of a doc_id each give a row; where their texts differ each goes by its
+    own. A row without doc_id links with nothing, has no component and is kept. An empty
+    table gives no rows. Other columns are not read.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     signed = materialize(
         docs.mapInArrow(
             _sign, "doc_id long, n_shingles long, digest binary, bands array<long>"
         ),
         "signed",
     )
-    # equal sets: one representative each
+    # equal sets: one node each
     classes = materialize(
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     members = _bucket_members(classes)
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = materialize(
-        docs.join(wanted, "doc_id", "left_semi")
-        .mapInArrow(_hashes, "rep long, hashes array<long>")
-        .dropDuplicates(["rep"]),
+        texts.mapInArrow(_hashes, "digest binary, hashes array<long>")
+        .dropDuplicates(["digest"])
+        .join(wanted.select("digest", "node", "n", "bands"), "digest")
+        .drop("digest"),
         "sets",
     )
-    links = materialize(_links(_groups(members), sets), "links")
-    labels = connected_components(links)
+    labels = connected_components(_links(members, sets))
+    linked = materialize(
+        classes.select("node", "rep").join(labels, "node").select("node", "component", "rep"), "linked"
+    )
+    smallest = linked.groupBy("component").agg(F.min("rep").alias("smallest"))
     of_class = (
-        classes.select("digest", "rep")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("digest", F.coalesce("component", "rep").alias("component"))
+        classes.select("digest", "node", "rep")
+        .join(linked.join(smallest, "component").select("node", "smallest"), "node", "left")
+        .select("digest", F.coalesce("smallest", "rep").alias("component"))
     )
     found = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(
@@ -253,75 +270,143 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    dropped = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    Rows that share a doc_id go together, when none of them is kept.
+    """
+    of_id = near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"))
+    dropped = of_id.filter("not _kept")
     return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
 
 
 def _bucket_members(classes: DataFrame) -> DataFrame:
-    """(band, rep, n, pivot): the representatives of each band key that several share.
-
-    ``pivot`` is the smallest of them.
-    """
-    keys = classes.select("rep", "n", F.explode("bands").alias("band"))
+    """(band, node, n, pivot): the nodes of each band key that several share; ``pivot`` is the smallest."""
+    keys = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = (
         keys.groupBy("band")
-        .agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"))
+        .agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
         .filter("pivot <> last")
         .select("band", "pivot")
     )
     return materialize(keys.join(shared, "band"), "members")
 
 
-def _groups(members: DataFrame) -> DataFrame:
-    """(group, rep, blocks): candidates that are compared with each other.
+def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): confirmed links that connect all candidates which links connect.
 
-    Candidates that hang together over shared bands form a group, in which each appears
-    once. Where such a group is very large, its buckets are the groups instead, so that
-    comparisons stay those of a bucket.
+    Candidates that hang together over shared bands form a group. A group that fits a
+    block is compared in one task. The documents of a larger one are compared with a pivot
+    each; then, bucket by bucket, those that this left apart are compared with all others.
     """
     hang = connected_components(
-        members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+        members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     )
     placed = materialize(
-        members.select("rep", "n").distinct().join(hang.withColumnRenamed("node", "rep"), "rep"),
-        "placed",
+        members.select("node", "n").distinct().join(hang, "node"), "placed"
     )
-    blocks = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
-    sizes = placed.groupBy("component").agg(blocks)
-    whole = placed.join(sizes.filter(F.col("blocks") <= MOST_BLOCKS), "component").select(
-        F.col("component").alias("group"), "rep", "blocks"
+    sizes = materialize(placed.groupBy("component").agg(F.sum("n").alias("size")), "sizes")
+    small = sizes.filter(F.col("size") <= BLOCK_SHINGLES)
+    whole = placed.join(small, "component").select(
+        F.col("component").alias("group"),
+        F.lit(0).alias("i"),
+        F.lit(0).alias("j"),
+        F.lit(False).alias("behind"),
+        F.col("node").alias("tree"),
+        "node",
     )
-    large = placed.join(sizes.filter(F.col("blocks") > MOST_BLOCKS), "component").select("rep")
-    in_buckets = members.join(large, "rep").select("band", "rep", "n")
-    bucket_sizes = in_buckets.groupBy("band").agg(blocks)
-    buckets = in_buckets.join(bucket_sizes, "band").select(
-        F.col("band").alias("group"), "rep", "blocks"
+    links = materialize(_compared(whole.join(sets.select("node", "hashes", "bands"), "node")), "links")
+    large = sizes.filter(F.col("size") > BLOCK_SHINGLES)
+    if large.isEmpty():
+        return links
+    nodes = placed.join(large, "component").select("node")
+    in_buckets = materialize(members.join(nodes, "node"), "large")
+    to_pivots = materialize(_pivot_links(in_buckets, sets.select("node", "n", "hashes")), "pivots")
+    rest = _apart(in_buckets, connected_components(to_pivots))
+    no_bands = F.lit(None).cast("array<long>").alias("bands")  # a bucket shares one
+    left = materialize(_compared(rest.join(sets.select("node", "hashes", no_bands), "node")), "links")
+    return links.unionByName(to_pivots).unionByName(left)
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """Links of rows (group, i, j, behind, tree, hashes, bands), a block pair in one task."""
+    return (
+        rows.select("group", "i", "j", "behind", "tree", "hashes", "bands")
+        .repartition("group", "i", "j")
+        .sortWithinPartitions("group", "i", "j", "behind")
+        .mapInArrow(_link_blocks, "a long, b long")
     )
-    # kinds are told apart: a band key may equal a doc_id
-    return whole.withColumn("kind", F.lit(0)).unionByName(buckets.withColumn("kind", F.lit(1)))
 
 
-def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links inside the groups.
+def _pivot_links(in_buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of nodes with the smallest node they share a bucket with.
 
-    A group is cut into blocks of bounded size and each pair of blocks is compared in one
-    task, so that no group is gathered whole; links that close a circle are left out.
+    The pivot's set is copied once for every so many nodes, so that a pivot of very many
+    is no task of its own.
     """
-    mine = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
-    pairs = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")),
-        )
-    )
-    rows = (
-        groups.join(sets, "rep")
-        .select(F.xxhash64("kind", "group").alias("group"), "rep", "hashes", pairs.alias("pair"))
-        .select("group", "pair.i", "pair.j", "rep", "hashes")
+    pairs = in_buckets.groupBy("node").agg(F.min("pivot").alias("pivot")).filter("node <> pivot")
+    copies = F.ceil(F.count("*") / ROWS_PER_COPY).alias("copies")
+    dealt = materialize(pairs.join(pairs.groupBy("pivot").agg(copies), "pivot"), "pairs")
+    pivots = dealt.select("pivot", "copies").distinct().join(
+        sets.select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("hashes").alias("others")),
+        "pivot",
     )
+    pivots = pivots.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    both = F.size(F.array_intersect("hashes", "others"))
     return (
-        rows.repartition("group", "i", "j")
-        .sortWithinPartitions("group", "i", "j")
-        .mapInArrow(_link_blocks, "a long, b long")
+        dealt.withColumn("copy", F.pmod(F.xxhash64("node"), "copies"))
+        .join(sets, "node")
+        .join(pivots.drop("copies"), ["pivot", "copy"])
+        .filter(100 * both >= PERCENT * (F.col("n") + F.col("m") - both))
+        .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    )
+
+
+def _apart(in_buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(group, i, j, behind, tree, node): blocks of the buckets that hold several trees.
+
+    Nodes of a bucket's largest tree need no comparison with each other: they are dealt to
+    blocks behind, the others to blocks in front, and every pair of blocks is laid out
+    that has one in front.
+    """
+    tree = F.coalesce("component", "node").alias("tree")
+    rows = materialize(
+        in_buckets.join(labels, "node", "left").select(F.col("band").alias("group"), "node", "n", tree),
+        "trees",
+    )
+    by_tree = rows.groupBy("group", "tree").agg(F.sum("n").alias("size"))
+    largest = F.max(F.struct("size", "tree")).alias("largest")
+
+    def blocks(size: Column) -> Column:
+        return F.ceil(size / BLOCK_SHINGLES).cast("int")
+
+    mixed = (
+        by_tree.groupBy("group")
+        .agg(largest, F.sum("size").alias("total"), F.count("*").alias("trees"))
+        .filter("trees > 1")
+        .select(
+            "group",
+            F.col("largest.tree").alias("largest"),
+            blocks(F.col("total") - F.col("largest.size")).alias("front"),
+            blocks(F.col("largest.size")).alias("back"),
+        )
+    )
+    behind = (F.col("tree") == F.col("largest")).alias("behind")
+    dealt = rows.join(mixed, "group").select("group", "node", "tree", "front", "back", behind)
+    draw = F.xxhash64("node", F.lit(2))
+    mine = F.when(F.col("behind"), F.col("front") + F.pmod(draw, "back")).otherwise(F.pmod(draw, "front"))
+    others = F.when(F.col("behind"), F.col("front")).otherwise(F.col("front") + F.col("back"))
+    return dealt.withColumn("mine", mine.cast("int")).select(
+        "group",
+        "behind",
+        "tree",
+        "node",
+        F.explode(F.sequence(F.lit(0), others - 1)).alias("other"),
+        "mine",
+    ).select(
+        "group",
+        F.least("mine", "other").alias("i"),
+        F.greatest("mine", "other").alias("j"),
+        "behind",
+        "tree",
+        "node",
     )
