@@ -379,7 +379,8 @@ def _apart(in_buckets: DataFrame, labels: DataFrame) -> DataFrame:
     def blocks(size: Column) -> Column:
         return F.ceil(size / BLOCK_SHINGLES).cast("int")
 
-    mixed = (
+    # written, so that Spark may split the rows of a hot bucket in the join
+    mixed = materialize(
         by_tree.groupBy("group")
         .agg(largest, F.sum("size").alias("total"), F.count("*").alias("trees"))
         .filter("trees > 1")
@@ -388,7 +389,8 @@ def _apart(in_buckets: DataFrame, labels: DataFrame) -> DataFrame:
             F.col("largest.tree").alias("largest"),
             blocks(F.col("total") - F.col("largest.size")).alias("front"),
             blocks(F.col("largest.size")).alias("back"),
-        )
+        ),
+        "mixed",
     )
     behind = (F.col("tree") == F.col("largest")).alias("behind")
     dealt = rows.join(mixed, "group").select("group", "node", "tree", "front", "back", behind)
