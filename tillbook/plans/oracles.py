@@ -410,6 +410,7 @@ _QUERIES = {
       select sale_id, sold_on, cast(amount as double) as amount, product_id, place, qty
       from sales""",
     "export_returns": "select * from returned_goods",
+    "export_returns_ranges": "select * from returned_goods",
     "import_products": "select * from accepted_rows",
     "import_rejected": """
       select product_name, category_name, buy_price, sell_price, color, producer_name, sku,

@@ -33,10 +33,10 @@ def _money_as_double(df: DataFrame) -> DataFrame:
     )
 
 
-def _export_roundtrip(d: RetailData, df: DataFrame, fmt: str) -> DataFrame:
+def _export_roundtrip(d: RetailData, df: DataFrame, fmt: str, ranges: bool = False) -> DataFrame:
     path = new_path(d.spark, "export")
     export_table(df, path, fmt)
-    return read_export(d.spark, path, df.schema, fmt)
+    return read_export(d.spark, path, df.schema, fmt, ranges)
 
 
 def _import(d: RetailData) -> intake.Intake:
@@ -157,6 +157,7 @@ _QUERIES: dict[str, Callable[[RetailData], DataFrame]] = {
     "export_roundtrip": lambda d: _export_roundtrip(d, d.products, "csv"),
     "export_sales": lambda d: _export_roundtrip(d, d.sales, "parquet"),
     "export_returns": lambda d: _export_roundtrip(d, d.returns, "csv"),
+    "export_returns_ranges": lambda d: _export_roundtrip(d, d.returns, "csv", ranges=True),
     "import_products": lambda d: _import(d).accepted,
     "import_rejected": lambda d: _import(d).rejected,
     "import_unresolved": _import_unresolved,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tillbook.sources.ranges import read_csv_ranges
+
 FORMATS = ("parquet", "csv")
 
 #: Quotes inside a cell are doubled and cells keep outer blanks and line breaks, as
@@ -40,9 +42,14 @@ def export_table(
 
 
 def read_export(
-    spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet"
+    spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", ranges: bool = False
 ) -> DataFrame:
-    """Read what ``export_table`` wrote, as it was. A CSV file is read by one task."""
+    """Read what ``export_table`` wrote, as it was.
+
+    A CSV file is read by one task, or with ``ranges`` by as many as it has splits.
+    """
+    if fmt == "csv" and ranges:
+        return read_csv_ranges(spark, path, schema, {"emptyValue": "", **CSV_CELLS})
     reader = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
         reader = reader.options(header=True, multiLine=True, emptyValue="", **CSV_CELLS)
