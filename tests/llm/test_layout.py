@@ -236,6 +236,14 @@ def test_vector_cells(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (5, [1.0, 0.1], 0), (0, [-1.0, 0.0], 0), (0, [-1.0, 5.0], 0)]
+    found = spherical_cells.near_duplicates(vectors(spark, rows).withColumn("vec_id", F.col("vec_id").cast("int")))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found.collect()) == [
+        (0, 0, 0), (0, 1, 0), (1, 1, 0), (1, 1, 1), (5, 1, 1)
+    ]
+
+
 def test_vectors_null_ids_repeats_and_empty_table(spark):
     rows = [(None, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0)]
     found = spherical_cells.near_duplicates(vectors(spark, rows)).collect()

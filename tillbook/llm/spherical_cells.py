@@ -234,11 +234,12 @@ def near_duplicates(
     different lengths never. A vector that is null, empty or zero, or holds a null or
     non-finite component, links with nothing. Equal vectors are compared once and counted
     as often as they come; a row without vec_id counts for nothing, has no component and
-    is kept. Repeated rows each give a row and link with each other. An empty table gives
-    no rows. Labels and other columns are not read.
+    is kept. Repeated rows each give a row and link with each other; rows of one vec_id
+    with different vectors go each by its own. An empty table gives no rows. Labels and
+    other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
@@ -247,12 +248,13 @@ def near_duplicates(
     classes = materialize(
         keyed.filter("fine")
         .groupBy("h1", "h2")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")),
+        .agg(F.min("vec_id").alias("smallest"), F.count("*").alias("copies"), F.first("v").alias("v"))
+        .withColumn("rep", F.monotonically_increasing_id()),
         "vectors",
     )
     total = classes.count()
     share = min(1.0, sample_rows / max(1, total))
-    dealt = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)
+    dealt = F.pmod(F.xxhash64("h1", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)
     # the sample is bounded by the parameter
     dims, units = _unit(classes.filter(dealt).select("v").toArrow().column(0).combine_chunks())
     cells = int(np.clip(-(-total // VECTORS_PER_CELL), 1, MOST_CELLS))
@@ -304,16 +306,21 @@ def near_duplicates(
     )
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    # classes are told apart by number, since ids may repeat; components are named at the end
+    placed = materialize(
+        classes.select("rep", "smallest").join(labels.withColumnRenamed("node", "rep"), "rep"), "placed"
+    )
+    names = placed.groupBy("component").agg(F.min("smallest").alias("name"))
     of_class = (
-        classes.select("h1", "h2", "rep", "copies")
+        classes.select("h1", "h2", "rep", "smallest", "copies")
         .join(degrees, "rep", "left")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(placed.join(names, "component").select("rep", "name"), "rep", "left")
         .select(
             "h1",
             "h2",
             F.lit(True).alias("fine"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("name", "smallest").alias("component_id"),
         )
     )
     out = keyed.select("vec_id", "h1", "h2", "fine").join(of_class, ["h1", "h2", "fine"], "left")
