@@ -102,3 +102,46 @@ def test_large_batches_are_held_against_ranges(spark, tmp_path, monkeypatch):
     found = store.find(keys)
     assert sorted(r.sale_id for r in found.collect()) == ids[:4]
     assert {r.month.month for r in store.read(store.files_of(keys)).collect()} == {2, 5}
+
+
+def returns_of_two_sales(spark, **sizes):
+    stock = make.products(spark, {"product_id": 1})
+    sold = materialize(make.sales(spark, {"sale_id": "a", "qty": 5}, {"sale_id": "b", "qty": 2}, {"sale_id": "c"}), "sold")
+    asked = make.return_requests(
+        spark, {"request_id": "1", "sale_id": "a", "qty": 2}, {"request_id": "2", "sale_id": "a", "qty": 1},
+        {"request_id": "3", "sale_id": "b", "qty": 2}, {"request_id": "4", "sale_id": "a", "qty": 9},
+        {"request_id": "5", "sale_id": None}, {"request_id": "6", "sale_id": "x"},
+    )
+    return ledger.apply_returns(stock, sold, asked, **sizes)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"fold_limit": 1, "block_rows": 2}])
+def test_changed_sales_are_known_without_sales(spark, sizes):
+    day = returns_of_two_sales(spark, **sizes)
+    for df in (day.changed_sales, day.touched_sales, day.removed_sales):
+        assert "Join" not in plan(df)
+    assert [(r.sale_id, r.qty) for r in day.changed_sales.collect()] == [("a", 2)]
+    assert sorted((r.sale_id, r.qty) for r in day.touched_sales.collect()) == [("a", 5), ("b", 2)]
+    assert sorted((r.request_id, r.reason) for r in day.rejected.collect()) == [
+        ("4", "exceeds_sale"), ("5", "unknown_sale"), ("6", "unknown_sale")
+    ]
+
+
+def test_requests_are_written_as_verdicts_alone(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(grants, "materialize", lambda df, name: written.append((name, df.columns)) or materialize(df, name))
+    returns_of_two_sales(spark)
+    assert [name for name, columns in written if {"request_id", "sale_id"} <= set(columns)] == ["verdicts"]
+
+
+@pytest.mark.parametrize("listed, bitmaps", [(100, 100), (0, 100), (0, 0)])
+def test_repeats_are_found_by_list_bitmaps_and_join(spark, monkeypatch, listed, bitmaps):
+    monkeypatch.setattr(grants, "LISTED_SKETCHES", listed, raising=False)
+    monkeypatch.setattr(grants, "BITMAP_SKETCHES", bitmaps, raising=False)
+    sound = F.when(F.col("qty") < 1, "bad_qty")
+    requests = requests_with_repeats(spark).withColumn("reason", sound)
+    rows = grants._without_repeats(requests, "request_id", ("seq", "request_id"), "again")
+    assert sorted((r.request_id, r.seq) for r in rows.filter("reason = 'again'").collect()) == sorted(
+        (f"r{i - 40}", i) for i in range(40, 60)
+    )
+    assert rows.count() == 61 and rows.filter("reason = 'bad_qty'").count() == 1

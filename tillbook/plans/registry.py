@@ -131,7 +131,7 @@ def _rolled(d: RetailData) -> DataFrame:
     store.create(d.sales)
     store.apply(rollups.moves_of_sales(_apply_sales(d).accepted), batch=1)
     day = _apply_returns(d)
-    store.apply(rollups.moves_of_returns(d.sales, day.changed_sales, day.removed_sales), batch=2)
+    store.apply(rollups.moves_of_returns(day.touched_sales, day.changed_sales, day.removed_sales), batch=2)
     return store.read()
 
 
