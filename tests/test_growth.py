@@ -10,10 +10,11 @@ import pytest
 import rows as make
 from pyspark.sql import functions as F
 
-from tillbook.operators import grants, ledger
+from tillbook.operators import grants, ledger, rollups
 from tillbook.plans import staging
 from tillbook.plans.worktables import materialize
 from tillbook.sources import MonthStore
+from tillbook.sources.rollups import RollupStore
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -145,3 +146,19 @@ def test_repeats_are_found_by_list_bitmaps_and_join(spark, monkeypatch, listed,
         (f"r{i - 40}", i) for i in range(40, 60)
     )
     assert rows.count() == 61 and rows.filter("reason = 'bad_qty'").count() == 1
+
+
+def test_a_rollup_is_shuffled_once_and_written_in_that_layout(spark, tmp_path, small_only_by_hint):
+    rng = random.Random(4)
+    sold = materialize(
+        make.sales(
+            spark, *[{"product_id": rng.randrange(3), "sold_on": dt.date(2024, rng.randrange(1, 4), 3), "qty": i} for i in range(90)]
+        ),
+        "sold",
+    )
+    assert plan(rollups.roll_up(sold)).count("Exchange") == 1
+    store = RollupStore(spark, str(tmp_path / "rollup"))
+    store.create(sold)
+    store.apply(rollups.moves_of_sales(sold), batch=1)
+    assert sum(r.units for r in store.read().collect()) == 2 * sum(range(90))
+    assert store.read().count() == 9
