@@ -162,3 +162,36 @@ def test_a_rollup_is_shuffled_once_and_written_in_that_layout(spark, tmp_path, s
     store.apply(rollups.moves_of_sales(sold), batch=1)
     assert sum(r.units for r in store.read().collect()) == 2 * sum(range(90))
     assert store.read().count() == 9
+
+
+@pytest.mark.parametrize("sizes", [{}, {"fold_limit": 3, "block_rows": 2}])
+def test_a_large_batch_shuffles_sales_once(spark, monkeypatch, small_only_by_hint, sizes):
+    rng = random.Random(5)
+    day = dt.date(2024, 1, 1)
+    sold = [{"sale_id": f"s{i}", "qty": rng.choice([None, 0, 1, 3, 6]), "product_id": rng.choice([1, 2, None])} for i in range(60)]
+    sold += [{"sale_id": None, "qty": 2}, {"sale_id": None, "qty": None}, {"sale_id": "twice", "qty": 1}, {"sale_id": "twice", "qty": 4}]
+    sold += [{"sale_id": "bare", "sold_on": None, "place": None, "amount": None, "qty": 7}, {"sale_id": "busy", "qty": 9, "sold_on": day}]
+    asked = [
+        {"sale_id": rng.choice(["gone", None, *[f"s{i}" for i in range(0, 60, 2)]]), "qty": rng.choice([None, 0, 1, 1, 2, 3])}
+        for _ in range(50)
+    ]
+    asked += [{"sale_id": "busy", "qty": 1 + i % 2, "seq": i} for i in range(9)] + [{"sale_id": "bare", "qty": 3}]
+    asked.append({"sale_id": "twice", "qty": 0})  # refused before anything is looked up
+    requests = make.return_requests(spark, *asked, {"request_id": "r3", "sale_id": "s1", "qty": 1})
+    stock = make.products(spark, {"product_id": 1}, {"product_id": 2})
+    frame = materialize(make.sales(spark, *sold), "sold")
+    plain = ledger.apply_returns(stock, frame, requests)
+    monkeypatch.setattr(grants, "BROADCAST_KEYS", 0)
+    large = ledger.apply_returns(stock, frame, requests, **sizes)
+    for one, other in zip(plain, large, strict=True):
+        assert one.columns == other.columns and one.dtypes == other.dtypes
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    if not sizes:  # no sale has so many requests that they are judged apart
+        assert "Exchange" not in plan(large.sales)
+
+
+def test_a_sale_held_twice_stops_a_large_batch(spark, monkeypatch):
+    monkeypatch.setattr(grants, "BROADCAST_KEYS", 0)
+    sold = make.sales(spark, {"sale_id": "a"}, {"sale_id": "a"}, {"sale_id": "b"})
+    with pytest.raises(ValueError, match="a is held 2 times"):
+        ledger.apply_returns(make.products(spark, {}), sold, make.return_requests(spark, {"sale_id": "a"}))
