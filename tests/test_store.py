@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillbook.operators import ledger
 from tillbook.sources import MonthStore, schemas
+from tillbook.sources.store import replace_months
 
 
 def month_files(spark, store):
@@ -93,3 +94,18 @@ def test_merge_prunes_by_month(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*month", plan)
     assert [r.sale_id for r in some.collect()] == ["b"]
     assert schemas.TABLES["sales"].fieldNames() == store.schema.fieldNames()
+
+
+def test_the_index_is_not_sorted_by_paths(spark, tmp_path, monkeypatch):
+    """Aggregates of texts and bitmaps sort their rows: by number, not by month and path."""
+    seen = []
+    whole = replace_months
+    monkeypatch.setattr("tillbook.sources.store.replace_months", lambda rows, *rest: seen.append(rows) or whole(rows, *rest))
+    day = dt.date(2024, 1, 3)
+    sold = [{"sale_id": i, "sold_on": day} for i in ("b", "a", None, "c")] + [{"sale_id": None, "sold_on": None}]
+    store = new_store(spark, tmp_path, *sold)
+    text = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" in text and not re.search(r"SortAggregate\(key=\[[^\]]*file", text)
+    index = store._read_index().select("least", "most", "month").distinct().collect()
+    assert [tuple(r) for r in index] == [("a", "c", dt.date(2024, 1, 1))]
+    assert [r.sale_id for r in store.find(store.read().filter("sale_id = 'a' or sale_id is null")).collect()] == ["a"]
