@@ -1,6 +1,7 @@
-"""Column helpers shared by the operators."""
+"""Helpers shared by the operators."""
 
 from tillbook.functions.dates import normalize_date, period_start, stored_date
+from tillbook.functions.joins import lookup
 from tillbook.functions.numbers import (
     is_blank,
     percent,
@@ -10,6 +11,7 @@ from tillbook.functions.numbers import (
 
 __all__ = [
     "is_blank",
+    "lookup",
     "normalize_date",
     "percent",
     "period_start",

@@ -1,7 +1,8 @@
 """Row-level listings: products, stock, sales and returns with names joined in.
 
 No join carries a broadcast hint: Spark broadcasts a lookup table when its size is
-under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise. Products that
+sales and returns look names up in are shuffled from a number of rows on (``lookup``).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions import stored_date
+from tillbook.functions import lookup, stored_date
 
 
 def product_list(products: DataFrame) -> DataFrame:
@@ -80,14 +81,16 @@ def in_stock(products: DataFrame, categories: DataFrame, producers: DataFrame) -
 
 def sales_list(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Sales with the product name; sales of unknown products are left out."""
-    return sales.join(products.select("product_id", "product_name"), "product_id").select(
+    names = lookup(products.select("product_id", "product_name"))
+    return sales.join(names, "product_id").select(
         "sale_id", "product_id", "product_name", "sold_on", "amount", "place", "qty"
     )
 
 
 def returns_list(returns: DataFrame, products: DataFrame) -> DataFrame:
     """Returns with the product name and the defect flag as yes/no; NULL reads no."""
-    return returns.join(products.select("product_id", "product_name"), "product_id").select(
+    names = lookup(products.select("product_id", "product_name"))
+    return returns.join(names, "product_id").select(
         "return_id",
         "product_id",
         "product_name",
