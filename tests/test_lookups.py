@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tillbook.functions import lookup
 from tillbook.functions.joins import BROADCAST_ROWS
-from tillbook.operators import listings
+from tillbook.operators import listings, rollups, sales
 from tillbook.plans.worktables import materialize
+from tillbook.sources.rollups import RollupStore
 from tillbook.sources.schemas import PRODUCTS
 
 
@@ -49,6 +50,26 @@ def test_many_products_are_not_broadcast_to_lists(many_products, sold):
         assert sorted((r.product_id, r.product_name) for r in found.collect()) == [(7, "lamp"), (7, "lamp"), (8, "lamp")]
 
 
+def test_many_products_are_not_broadcast_to_reports(many_products, sold, spark):
+    margin = sales.margin_by_period(sold, many_products, "week")
+    assert by_shuffle(margin)
+    assert [int(r.total_margin) for r in margin.collect()] == [9]
+    ends = sales.best_and_worst(sold, many_products)
+    assert by_shuffle(ends)
+    assert sorted((r.kind, r.product_id) for r in ends.collect()) == [("best", 8), ("worst", 7)]
+    units = sales.units_by_producer(sold, many_products, make.producers(spark))
+    assert "SortMergeJoin [product_id" in plan(units)
+    assert [r.total_qty for r in units.collect()] == [6]
+
+
+def test_many_products_are_not_broadcast_to_a_rollup(many_products, sold, spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path / "rollup"))
+    store.create(sold)
+    margin = sales.margin_by_period(rollups.as_sales(store.read()), many_products, "week")
+    assert by_shuffle(margin)
+    assert [int(r.total_margin) for r in margin.collect()] == [9]
+
+
 def test_few_products_are_still_left_to_spark(spark, sold):
     few = materialize(make.products(spark, {"product_id": 7}), "few")
     assert lookup(few) is few
